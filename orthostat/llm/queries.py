@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.uris import uri_set
 from ..sources.tables import table
-from . import bisect, setjoin
+from . import bisect, leakage, mixing, setjoin
 
 
 def _member_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -56,8 +56,33 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return bisect.describe_leaves(bisect.similarity_groups(words, "identifier", "words"), words, "identifier", "words")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p6_near(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks with the windows' weighted shingle similarity at 0.8 or more, and where they are."""
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), min_similarity=0.8)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+def _mix(spark: SparkSession, d: str) -> tuple:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    used, _ = _mix(spark, d)
+    return used.select(F.col("id").cast("long").alias("doc_id"), "source", "n_tokens", "copies")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.reached(*_mix(spark, d))
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_class_pairs": p2_class_pairs, "p2_membership": p2_membership,
     "p3_found": p3_found, "p3_groups": p3_groups,
+    "p6_found": p6_found, "p6_near": p6_near,
+    "p7_mix": p7_mix, "p7_shares": p7_shares,
 }
 SQL: dict[str, str] = {}
