@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.uris import uri_set
+from ..session import cut
 from ..sources.tables import table
-from . import bisect, leakage, mixing, setjoin
+from . import bisect, leakage, mixing, quality, setjoin
 
 
 def _member_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -79,10 +80,25 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached(*_mix(spark, d))
 
 
+def _quality(spark: SparkSession, d: str) -> DataFrame:
+    statistics = quality.text_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
+    return quality.score(cut(statistics, "statistics"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.junk(_quality(spark, d)).select("doc_id")
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's statistics, with robust z-scores and percentiles, and the tails it lies in."""
+    return _quality(spark, d)
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_class_pairs": p2_class_pairs, "p2_membership": p2_membership,
     "p3_found": p3_found, "p3_groups": p3_groups,
     "p6_found": p6_found, "p6_near": p6_near,
+    "p8_found": p8_found, "p8_statistics": p8_statistics,
     "p7_mix": p7_mix, "p7_shares": p7_shares,
 }
 SQL: dict[str, str] = {}
