@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.uris import uri_set
 from ..session import cut
 from ..sources.tables import table
-from . import bisect, leakage, mixing, quality, setjoin
+from . import bisect, leakage, mixing, quality, repair, setjoin
 
 
 def _member_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -57,6 +57,29 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return bisect.describe_leaves(bisect.similarity_groups(words, "identifier", "words"), words, "identifier", "words")
 
 
+#: The kind of entry that the label of a cluster names.
+_KINDS = {"geographic": "place", "chronological": "period", "typological": "typology"}
+
+
+def _free_values(spark: SparkSession, d: str) -> DataFrame:
+    """(record_id, pos, kind, value) of labels (pos 0) and architectural features (pos from 1)."""
+    kind = F.coalesce(*(F.when(F.col("cluster_type") == t, F.lit(k)) for t, k in _KINDS.items()))
+    labels = table(spark, d, "history_clusters").select(F.col("cluster_id").alias("record_id"), F.lit(0).alias("pos"), kind.alias("kind"), F.col("label").alias("value"))
+    features = table(spark, d, "typological_clusters").select(F.col("assertion_id").alias("record_id"), F.posexplode("architectural_features").alias("p", "value"))
+    return labels.unionByName(features.select("record_id", (F.col("p") + 1).alias("pos"), F.lit("feature").alias("kind"), "value"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    mapped = repair.map_rows(_free_values(spark, d), table(spark, d, "canonical_terms"))
+    return mapped.select("record_id", F.col("pos").cast("int").alias("pos"), "term_id")
+
+
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct free value with its entry, score and number of uses; unmatched values have -1."""
+    mapped = repair.map_rows(_free_values(spark, d), table(spark, d, "canonical_terms"))
+    return mapped.groupBy("kind", "value", "term_id").agg(F.round(F.max("score"), 6).alias("score"), F.count("*").alias("uses"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -97,6 +120,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found, "p2_class_pairs": p2_class_pairs, "p2_membership": p2_membership,
     "p3_found": p3_found, "p3_groups": p3_groups,
+    "p5_found": p5_found, "p5_values": p5_values,
     "p6_found": p6_found, "p6_near": p6_near,
     "p8_found": p8_found, "p8_statistics": p8_statistics,
     "p7_mix": p7_mix, "p7_shares": p7_shares,
