@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.uris import uri_set
+from ..functions.uris import uri_key, uri_set
 from ..session import cut
 from ..sources.tables import table
-from . import bisect, leakage, mixing, quality, repair, setjoin
+from . import bisect, leakage, linkage, mixing, quality, repair, setjoin
 
 
 def _member_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -57,6 +57,31 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return bisect.describe_leaves(bisect.similarity_groups(words, "identifier", "words"), words, "identifier", "words")
 
 
+def _links(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
+    """(cases, links) of clusters, by overlap, and of relations, by their two ends."""
+    sites = uri_set(F.col("member_uris"))
+    a, b = uri_key(F.col("source_uri")), uri_key(F.col("target_uri"))
+    ends = F.when(a.isNotNull() & b.isNotNull(), F.array(a, b)).otherwise(F.array().cast("array<string>"))
+    out = []
+    for name, key, kind, values, label, threshold in (("clusters", "cluster_id", "cluster_type", sites, "label", 0.8), ("relations", "relation_id", "relation_type", ends, "metadata", 1.0)):
+        history = linkage.typed_sets(table(spark, d, f"history_{name}"), key, kind, values, label, "confidence")
+        batch = linkage.typed_sets(table(spark, d, f"batch_{name}"), key, kind, values, label, "confidence", also=("batch_no",))
+        out.append(linkage.link_batches(history, batch, threshold))
+    return out
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    (clusters, _), (relations, _) = _links(spark, d)
+    cases = clusters.unionByName(relations)
+    return cases.select(F.col("batch_no").cast("int").alias("batch_no"), F.col("item").alias("item_id")).distinct()
+
+
+def p4_representatives(spark: SparkSession, d: str) -> DataFrame:
+    """The touched records with the one that stands for all records linked to them."""
+    (_, clusters), (_, relations) = _links(spark, d)
+    return linkage.representatives(clusters.unionByName(relations))
+
+
 #: The kind of entry that the label of a cluster names.
 _KINDS = {"geographic": "place", "chronological": "period", "typological": "typology"}
 
@@ -120,6 +145,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found, "p2_class_pairs": p2_class_pairs, "p2_membership": p2_membership,
     "p3_found": p3_found, "p3_groups": p3_groups,
+    "p4_found": p4_found, "p4_representatives": p4_representatives,
     "p5_found": p5_found, "p5_values": p5_values,
     "p6_found": p6_found, "p6_near": p6_near,
     "p8_found": p8_found, "p8_statistics": p8_statistics,
