@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-_NAMES = ["proximity", "scalar", "validators", "joins"]
+_NAMES = ["proximity", "scalar", "validators", "joins", "reports"]
 
 
 def modules() -> list[ModuleType]:
