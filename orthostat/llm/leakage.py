@@ -132,7 +132,7 @@ class _Index:
 
     def probe(self, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, indexed window) of all fingerprints at most ``radius`` bits apart."""
-        at, with_ = [], []
+        at, with_ = [np.array([], np.int64)], [np.array([], np.int64)]
         for shift, mask, order, values, known in self.blocks:
             value = (prints >> shift) & mask
             some = np.flatnonzero(known[(value & np.uint64(0xFFFF)).astype(np.intp)])
