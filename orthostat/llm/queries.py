@@ -151,4 +151,19 @@ QUERIES = {
     "p8_found": p8_found, "p8_statistics": p8_statistics,
     "p7_mix": p7_mix, "p7_shares": p7_shares,
 }
-SQL: dict[str, str] = {}
+_KEY = "nullif(lower(trim(regexp_extract(regexp_replace(x, '[\\s/]+$', ''), '[^/]*$'))), '')"
+_SETS = f"""sets AS (SELECT DISTINCT id, list_sort(list_distinct(list_filter(list_transform(l, lambda x: {_KEY}), lambda x: x IS NOT NULL))) s FROM (SELECT cluster_id id, member_uris l FROM history_clusters UNION ALL SELECT path_id, stop_uris FROM history_paths) WHERE l IS NOT NULL),
+full_sets AS (SELECT * FROM sets WHERE len(s) > 0)"""
+_ALIKE = "shared::double / (n + m - shared) >= 0.6 - 1e-9"
+_CLASSES = f"""{_SETS}, cls AS (SELECT s, min(id) rep, len(s) n FROM full_sets GROUP BY s), each AS (SELECT rep, n, unnest(s) t FROM cls),
+met AS (SELECT a.rep rep_a, b.rep rep_b, a.n, b.n m, count(*) shared FROM each a JOIN each b ON a.t = b.t AND a.rep < b.rep GROUP BY 1, 2, 3, 4)"""
+_WORDS = """cur AS (SELECT * FROM sites WHERE identifier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY identifier ORDER BY updated_at DESC NULLS LAST, record_id DESC) = 1),
+ws AS (SELECT identifier id, list_distinct(list_filter(regexp_extract_all(lower(concat_ws(' ', description, historical_info)), '\\p{L}+'), lambda w: length(w) >= 4)) s FROM cur),
+each AS (SELECT id, len(s) n, unnest(s) t FROM ws WHERE len(s) >= 12),
+links AS (SELECT a.id x, b.id y FROM each a JOIN each b ON a.t = b.t AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*)::double / (a.n + b.n - count(*)) >= 0.6 - 1e-9)"""
+SQL: dict[str, str] = {
+    "p2_found": f"WITH {_SETS}, each AS (SELECT id, len(s) n, unnest(s) t FROM full_sets), met AS (SELECT a.id id_a, b.id id_b, a.n, b.n m, count(*) shared FROM each a JOIN each b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2, 3, 4) SELECT DISTINCT id_a, id_b FROM met WHERE {_ALIKE}",
+    "p2_class_pairs": f"WITH {_CLASSES} SELECT rep_a, rep_b, shared::int overlap, round(shared::double / (n + m - shared), 6) similarity FROM met WHERE {_ALIKE}",
+    "p2_membership": f"WITH {_CLASSES}, ln AS (SELECT rep, count(*) links FROM (SELECT rep_a rep FROM met WHERE {_ALIKE} UNION ALL SELECT rep_b FROM met WHERE {_ALIKE}) GROUP BY 1) SELECT id, rep class_id, coalesce(links, 0) links FROM full_sets JOIN cls USING (s) LEFT JOIN ln USING (rep)",
+    "p3_found": f"WITH RECURSIVE {_WORDS}, reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y) SELECT min(y) group_identifier, x identifier FROM (SELECT x, y FROM reach UNION SELECT x, x FROM links) GROUP BY x",
+}
