@@ -126,7 +126,7 @@ def near_locations(places: DataFrame, radius_km: float, cell_rows: int = CELL_RO
 def near_points(points: DataFrame, radius_km: float, key: str = "key", lat: str = "lat", lon: str = "lon") -> DataFrame:
     """(a, b, distance_km), a < b, of all points (unique key) at most ``radius_km`` apart, those at one place too."""
     places = cut(locations(points, key, lat, lon), "places")
-    at = points.select(F.col(key).cast("string").alias("key"), F.col(lat).alias("lat"), F.col(lon).alias("lon")).join(places, ["lat", "lon"]).select("key", "rep")
+    at = points.select(F.col(key).cast("string").alias("key"), F.col(lat).alias("lat"), F.col(lon).alias("lon")).where("key is not null").join(places, ["lat", "lon"]).select("key", "rep")
     x, y = at.select(F.col("key").alias("x"), F.col("rep").alias("rep_a")), at.select(F.col("key").alias("y"), F.col("rep").alias("rep_b"))
     apart = near_locations(places, radius_km).join(x, "rep_a").join(y, "rep_b").select("x", "y", "distance_km")
     together = x.join(y, F.col("rep_a") == F.col("rep_b")).where("x < y").select("x", "y", F.lit(0.0).alias("distance_km"))
