@@ -204,8 +204,10 @@ def match_values(values: DataFrame, terms: DataFrame, least: float = LEAST_SCORE
                     rows += [(kind, value, "", f"cut:{g[a : a + 4]}") for a in (0, 1) if len(g) >= 4]
             yield pd.DataFrame(rows, columns=["kind", "value", "token", "key"])
 
+    # few bytes, but much work for each row: spread it evenly, whatever the size of the tables
+    spread = max(distinct.sparkSession.sparkContext.defaultParallelism, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = cut(forms.mapInPandas(vocabulary, "kind string, term_id long, form string, word string, key string"), "vocabulary")
-    asked = distinct.mapInPandas(probes, "kind string, value string, token string, key string")
+    asked = distinct.repartition(spread, "kind", "value").mapInPandas(probes, "kind string, value string, token string, key string")
     meets = asked.join(keys, ["kind", "key"]).where((F.col("token") == "") | (F.levenshtein("token", "word") <= F.when(F.length("word") < 4, 0).when(F.length("word") < 6, 1).when(F.length("word") < 12, 2).otherwise(3)))
     pairs = cut(meets.select("kind", "value", "term_id", "form").distinct(), "pairs")
     # inverse document frequency of the vocabulary's words, within a kind
@@ -223,7 +225,7 @@ def match_values(values: DataFrame, terms: DataFrame, least: float = LEAST_SCORE
                 scores.append(similarity(*cores(value), form, {normal(r["w"]): log(1 + n / r["df"]) for r in df}))
             yield batch[["kind", "value", "term_id"]].assign(score=scores)
 
-    ranked = pairs.join(weights, ["kind", "form"]).mapInPandas(rank, "kind string, value string, term_id long, score double")
+    ranked = pairs.join(weights, ["kind", "form"]).repartition(spread, "kind", "value").mapInPandas(rank, "kind string, value string, term_id long, score double")
     by_term = ranked.groupBy("kind", "value", "term_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("kind", "value").orderBy(F.col("score").desc(), "term_id")
     best = by_term.withColumns({"k": F.row_number().over(order), "next": F.lead("score").over(order)}).where("k = 1")
