@@ -96,40 +96,46 @@ def triples(assertions: DataFrame, ns: Namespaces = Namespaces()) -> DataFrame:
     decimal, integer = XSD + "decimal", XSD + "integer"
     years = F.array_join(F.array_compact(F.array(c("start_year").cast("string"), c("end_year").cast("string"))), " to ")
     chrono = kind == "chronological_cluster"
-    single = [
-        # clusters
-        type_(by(_CLUSTERS, kind), is_cluster), text(RDFS + "label", label, ~is_relation),
-        text(DC + "description", _said(c("description")), ~is_relation & ~is_stop),
-        text(o + "regionName", _said(c("region")), kind == "geographic_cluster"),
-        *(_triple(a, p, v, k, dt, (kind == "geographic_cluster") & c("centroid_lat").isNotNull() & c("centroid_lon").isNotNull()) for a, p, v, k, dt in (
-            (s, GEO + "hasCentroid", node, "bnode", None), (node, RDF + "type", F.lit(GEO + "Point"), "iri", None),
-            (node, WGS84 + "lat", c("centroid_lat"), "literal", decimal), (node, WGS84 + "long", c("centroid_lon"), "literal", decimal))),
+    geo = kind == "geographic_cluster"
+    named = [text(RDFS + "label", label), text(DC + "description", _said(c("description")), ~is_stop)]
+    placed = geo & c("centroid_lat").isNotNull() & c("centroid_lon").isNotNull()
+    cluster = [
+        *named, type_(by(_CLUSTERS, kind), F.lit(True)), text(o + "regionName", _said(c("region")), geo),
+        _triple(s, GEO + "hasCentroid", node, "bnode", when=placed), _triple(node, RDF + "type", F.lit(GEO + "Point"), "iri", when=placed),
+        _triple(node, WGS84 + "lat", c("centroid_lat"), "literal", decimal, placed), _triple(node, WGS84 + "long", c("centroid_lon"), "literal", decimal, placed),
         text(o + "periodLabel", _said(c("period_label")), chrono), text(o + "startYear", c("start_year"), chrono, integer), text(o + "endYear", c("end_year"), chrono, integer),
         text(o + "temporalExtent", _said(years), chrono), text(o + "typologyLabel", _said(c("typology")), kind == "typological_cluster"),
-        # relations
+    ]
+    relation = [
         *(_triple(source, o + name, target, "iri", when=linked & (kind == name)) for name in _RELATIONS), _triple(source, o + "relatesTo", target, "iri", when=linked),
         *(_triple(target, o + name, source, "iri", when=linked & (kind == "contemporaryWith")) for name in ("contemporaryWith", "relatesTo")),
         type_(by(_RELATIONS, kind), linked), _triple(s, o + "source", source, "iri", when=linked), _triple(s, o + "target", target, "iri", when=linked),
         text(RDFS + "label", _said(c("label")), linked), text(DC + "description", _said(c("description")), linked),
         text(o + "distanceKm", c("relation_value"), linked & (kind == "nearTo"), decimal), text(o + "similarityScore", c("relation_value"), linked & (kind == "similarTo"), decimal),
-        # paths and stops
-        type_("ThematicPath", is_path), type_(by(_PATHS, path_type), is_path),
+    ]
+    path = [
+        *named, type_("ThematicPath", F.lit(True)), type_(by(_PATHS, path_type), F.lit(True)),
         _triple(theme, RDF + "type", F.lit(SKOS + "Concept"), "iri", when=has_theme), _triple(theme, SKOS + "prefLabel", c("theme"), "literal", XSD + "string", has_theme), _triple(s, o + "hasTheme", theme, "iri", when=has_theme),
-        text(o + "pathLength", F.size("stops"), is_path & (F.size("stops") > 0), integer), text(o + "estimatedDuration", duration_of(c("duration_hours")), is_path & (c("duration_hours") > 0), XSD + "duration"),
-        text(o + "difficulty", _said(c("difficulty")), is_path), text(o + "narrative", _said(c("narrative")), is_path),
-        type_("PathStop", is_stop), _triple(s, o + "stopSite", ref(c("site_uri")), "iri", when=is_stop), text(o + "stopOrder", c("stop_order"), is_stop, integer),
-        _triple(s, o + "belongsToPath", F.concat(F.lit(ns.data), c("path_id")), "iri", when=is_stop), text(o + "connectionReason", _said(c("justification")), is_stop), text(o + "narrativeSnippet", _said(c("narrative")), is_stop),
-        # features and other assertions
-        type_("ExtractedFeature", is_feature), type_(by({"architectural": "ArchitecturalFeature", "functional": "FunctionalFeature"}, F.lower("feature_category")), is_feature),
-        text(o + "featureLabel", _said(c("feature_label")), is_feature), _triple(s, o + "featureOf", entity, "iri", when=is_feature), _triple(entity, o + "hasFeature", s, "iri", when=is_feature),
-        type_("InterpretiveAssertion", generic),
-        # provenance
+        text(o + "pathLength", F.size("stops"), F.size("stops") > 0, integer), text(o + "estimatedDuration", duration_of(c("duration_hours")), c("duration_hours") > 0, XSD + "duration"),
+        text(o + "difficulty", _said(c("difficulty"))), text(o + "narrative", _said(c("narrative"))),
+    ]
+    single_stop = [
+        *named, type_("PathStop", F.lit(True)), _triple(s, o + "stopSite", ref(c("site_uri")), "iri"), text(o + "stopOrder", c("stop_order"), None, integer),
+        _triple(s, o + "belongsToPath", F.concat(F.lit(ns.data), c("path_id")), "iri"), text(o + "connectionReason", _said(c("justification"))), text(o + "narrativeSnippet", _said(c("narrative"))),
+    ]
+    feature = [
+        *named, type_("ExtractedFeature", F.lit(True)), type_(by({"architectural": "ArchitecturalFeature", "functional": "FunctionalFeature"}, F.lower("feature_category")), F.lit(True)),
+        text(o + "featureLabel", _said(c("feature_label"))), _triple(s, o + "featureOf", entity, "iri"), _triple(entity, o + "hasFeature", s, "iri"),
+    ]
+    provenance = [
         _triple(s, o + "generatedBy", F.concat(F.lit(ns.resource), agent), "iri", when=proven), text(o + "generatedBy", _said(c("generated_by")), proven & agent.isNull()),
         _triple(s, o + "validatedBy", F.concat(F.lit(ns.resource), agent), "iri", when=proven),
         text(o + "confidenceScore", c("confidence"), proven, decimal), text(o + "reasoningTrace", _said(c("reasoning")), proven),
         text(o + "generatedAt", iso_time(c("created_at")), proven, XSD + "dateTime"), text(o + "validatedAt", iso_time(c("created_at")), proven, XSD + "dateTime"),
         _triple(s, o + "hasValidationStatus", F.concat(F.lit(o), tier(F.coalesce("confidence", F.lit(0.0)))), "iri", when=proven), text(o + "validationNotes", _said(c("validation_notes")), proven),
     ]
+    # only the branch of a row's own type is evaluated
+    single = F.when(is_cluster, F.array(*cluster)).when(is_relation, F.array(*relation)).when(is_path, F.array(*path)).when(is_stop, F.array(*single_stop)).when(is_feature, F.array(*feature)).otherwise(F.array(*named, type_("InterpretiveAssertion", F.lit(True))))
     stop = lambda i: F.concat(F.lit(ns.data), F.coalesce(F.get("stops", i)["stop_id"], F.concat(c("assertion_id"), F.lit("-stop-"), (i + 1).cast("string"))))
 
     def of_stop(x: Column, i: Column) -> Column:
@@ -150,5 +156,5 @@ def triples(assertions: DataFrame, ns: Namespaces = Namespaces()) -> DataFrame:
         F.when(proven, F.flatten(each(subjects, lambda u: F.array(_triple(s, o + "groundedOn", ref(u), "iri"), _triple(s, PROV + "used", ref(u), "iri"))))).otherwise(none),
         F.when(proven, each(c("derived_from"), lambda d: _triple(s, o + "derivedFrom", F.concat(F.lit(ns.data), d), "iri"))).otherwise(none),
     ]
-    rows = own.select(F.explode(F.concat(F.array(*single), *many)).alias("t")).where("t is not null")
+    rows = own.select(F.explode(F.concat(single, F.array(*provenance), *many)).alias("t")).where("t is not null")
     return rows.select("t.*").distinct()

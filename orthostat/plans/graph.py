@@ -50,8 +50,8 @@ def r8_path_triples(spark: SparkSession, d: str) -> DataFrame:
 
 def all_triples(spark: SparkSession, d: str) -> DataFrame:
     """Triples of all stored assertions, each once; written once since several checks read them."""
-    parts = [r2_cluster_triples(spark, d), r5_relation_triples(spark, d), r8_path_triples(spark, d)]
-    return cut(parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct(), "triples")
+    parts = [mapping.complete(make(spark, d)) for make in (cluster_assertions, relation_assertions, path_assertions)]
+    return cut(mapping.triples(parts[0].unionByName(parts[1]).unionByName(parts[2]), NS), "triples")
 
 
 def v3_vocabulary(spark: SparkSession, d: str) -> DataFrame:
