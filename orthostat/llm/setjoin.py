@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import ceil, comb
+from math import ceil, comb, log
 
 import numpy as np
 import pandas as pd
@@ -146,8 +146,16 @@ def _large_pairs(sets: DataFrame, threshold: float, small: int) -> DataFrame:
         return sets.select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b")).limit(0)
     prefixes = cut(_prefixes(sets, threshold), "prefixes")
     named = lambda side: prefixes.select("token", *(F.col(c).alias(f"{c}_{side}") for c in prefixes.columns if c != "token"))
-    # the larger set looks into the lists of all sets that aren't larger
-    a, b = named("a").where(F.col("n_a") > small), named("b")
+    # the larger set looks into the lists of all sets that aren't larger; since these overlap with
+    # it in c(n, n) values at least, a shorter prefix of theirs suffices
+    mutual = F.ceil(2 * threshold / (1 + threshold) * F.col("n_b") - _EPS)
+    a, b = named("a").where(F.col("n_a") > small), named("b").where(F.col("pos_b") <= F.col("n_b") - mutual)
+    # a match at pos_a leaves room for partners of some sizes only: they meet by class of size
+    low = F.ceil(threshold * F.col("n_a") - _EPS)
+    high = F.least(F.col("n_a"), F.floor((F.col("n_a") - F.col("pos_a")) * ((1 + threshold) / threshold) + _EPS) - F.col("n_a"))
+    size_class = lambda n: F.floor(F.ln(n) * (4 / log(1 / threshold)) + _EPS) if threshold < 1 else n.cast("long")
+    a = a.where(high >= low).withColumn("sizes", F.explode(F.sequence(size_class(low), size_class(high))))
+    b = b.withColumn("sizes", size_class(F.col("n_b")))
     least = F.ceil(threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - _EPS)
     rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     apart = sum((F.bit_count(F.col(f"b{k}_a").bitwiseXOR(F.col(f"b{k}_b"))) for k in range(1, _WORDS)), F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))))
@@ -157,7 +165,7 @@ def _large_pairs(sets: DataFrame, threshold: float, small: int) -> DataFrame:
         & (rest >= least)
         & (apart <= F.col("n_a") + F.col("n_b") - 2 * least)
     )
-    pairs = a.join(b, "token").where(fits)
+    pairs = a.join(b, ["token", "sizes"]).where(fits)
     return pairs.select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b")).distinct()
 
 
