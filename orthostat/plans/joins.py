@@ -27,6 +27,13 @@ def j9_near_pairs(spark: SparkSession, d: str) -> DataFrame:
     return near_points(_located(spark, d), NEAR_KM, key="id").withColumn("distance_km", F.round("distance_km", 6))
 
 
+def j9_customer_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """J9 at a larger scale: sites laid out from the customers' numbers, many of them at one place."""
+    n = F.col("c_custkey")
+    rows = table(spark, d, "customer").where((n % 10 != 9) & (n % 25 != 0)).select(F.format_string("c%09d", n).alias("id"), (37 + (n * 37 % 400) / 100).alias("lat"), (8 + (n * 53 % 600) / 100).alias("lon"))
+    return near_points(rows, NEAR_KM, key="id").withColumn("distance_km", F.round("distance_km", 5))
+
+
 _J9 = f"{ENTITIES}, spots AS (SELECT id, lat, lon FROM entities WHERE {sql_valid('lat', 'lon')}), near AS (SELECT a.id a, b.id b, {sql_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} km FROM spots a JOIN spots b ON a.id < b.id AND abs(a.lat - b.lat) <= 0.28)"
 
 
@@ -168,7 +175,7 @@ def a17_simulated_relations(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "near_sites_scored": near_sites_scored, "j1_resolved_sites": j1_resolved_sites, "j3_member_warnings": j3_member_warnings, "j5_geometry_batch": j5_geometry_batch,
-    "j8_region_closure": j8_region_closure, "j9_near_pairs": j9_near_pairs, "j10_feature_pairs": j10_feature_pairs, "j11_vector_pairs": j11_vector_pairs,
+    "j8_region_closure": j8_region_closure, "j9_near_pairs": j9_near_pairs, "j9_customer_pairs": j9_customer_pairs, "j10_feature_pairs": j10_feature_pairs, "j11_vector_pairs": j11_vector_pairs,
     "y8_category_clusters": y8_category_clusters, "y9_first_feature_pairs": y9_first_feature_pairs, "y11_merged_labels": y11_merged_labels,
     "g7_greedy_clusters": g7_greedy_clusters, "a14_dominant_regions": g7_dominant_regions, "t5_period_clusters": t5_period_clusters,
     "cluster_paths": p5_cluster_paths, "next_stops": p7_next_stops, "a17_simulated_clusters": a17_simulated_clusters, "a17_simulated_relations": a17_simulated_relations,
@@ -176,6 +183,7 @@ QUERIES = {
 _TEXTS = _FEATURES.split("UNION SELECT id, feature FROM ")[1].split(" WHERE id NOT IN")[0].strip("() \n")
 _SIM = lambda kind, rel, value, conf: f"SELECT '{rel}' relation_type, id source, lead(id) OVER (PARTITION BY {value} ORDER BY load_order) target, {conf}::double confidence FROM entities WHERE {value} <> ''"
 SQL = {
+    "j9_customer_pairs": f"WITH q AS (SELECT printf('c%09d', c_custkey) id, 37 + (c_custkey * 37 % 400) / 100.0::double lat, 8 + (c_custkey * 53 % 600) / 100.0::double lon FROM customer WHERE c_custkey % 10 <> 9 AND c_custkey % 25 <> 0), p AS (SELECT a.id a, b.id b, {sql_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} km FROM q a JOIN q b ON a.id < b.id AND abs(a.lat - b.lat) <= 0.28) SELECT a, b, round(km, 5) distance_km FROM p WHERE km <= {NEAR_KM}",
     "j9_near_pairs": f"WITH {_J9} SELECT a, b, round(km, 6) distance_km FROM near WHERE km <= {NEAR_KM}",
     "near_sites_scored": f"WITH {_J9}, r AS (SELECT a, b, round(km, 6) distance_km FROM near WHERE km <= {NEAR_KM}), s AS (SELECT *, round({sql_relation('0.9', f'(CASE WHEN distance_km < 5 THEN 1.0 ELSE 1.0 - 0.5 * (distance_km - 5.0) / ({NEAR_KM} - 5.0) END)', f'(CASE WHEN distance_km < {NEAR_KM} THEN 1 - distance_km / {NEAR_KM} ELSE 0.0 END)')}, 6) confidence FROM r) SELECT *, {SQL_TIER.format('confidence')} tier FROM s",
     "j1_resolved_sites": f"WITH {_J1}",
@@ -185,6 +193,8 @@ SQL = {
     "j10_feature_pairs": f"WITH {_J10} SELECT a, b, shared, round(shared::double / u, 6) similarity FROM pr WHERE shared::double / u >= 0.3 - 1e-9",
     "y9_first_feature_pairs": f"WITH {_J10} SELECT a, b, shared, round(shared::double / u, 6) similarity FROM pr WHERE shared::double / u >= 0.3 - 1e-9 ORDER BY oa, ob LIMIT 20",
     "j11_vector_pairs": f"WITH {_J11} SELECT category, a, b, round(cosine, 6) cosine FROM pr WHERE cosine >= 0.3",
+    "y11_merged_labels": f"WITH RECURSIVE {_J11}, ed AS (SELECT category, a x, b y FROM pr WHERE cosine >= 0.35 UNION SELECT category, b, a FROM pr WHERE cosine >= 0.35), reach AS (SELECT category, label x, label y FROM v UNION SELECT r.category, r.x, ed.y FROM reach r JOIN ed ON ed.category = r.category AND ed.x = r.y) SELECT category, x AS label, first(y ORDER BY CAST(substr(y, 2) AS int) % 7 DESC, y) canonical, CAST(substr(x, 2) AS int) % 7 n FROM reach GROUP BY category, x",
+    "g7_greedy_clusters": f"WITH RECURSIVE {ENTITIES}, spots AS (SELECT id, lat, lon, load_order o FROM entities WHERE {sql_valid('lat', 'lon')}), ed AS (SELECT a.o x, b.o y FROM spots a JOIN spots b ON a.o < b.o AND abs(a.lat - b.lat) <= 0.05 AND {sql_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 5.0), reach AS (SELECT o x, o y FROM spots UNION SELECT reach.x, ed.y FROM reach JOIN ed ON ed.x = reach.y), lb AS (SELECT y, min(x) x FROM reach GROUP BY y) SELECT c.id AS cluster, m.id FROM lb JOIN spots c ON c.o = lb.x JOIN spots m ON m.o = lb.y WHERE lb.x IN (SELECT x FROM lb GROUP BY x HAVING count(*) >= 2)",
     "a14_dominant_regions": f"WITH {ENTITIES}, {sql_proposals('geographic')}, k AS (SELECT cluster_id, coalesce(region, 'Unknown') region, count(*) n, min(load_order) f FROM prop JOIN entities ON id = member GROUP BY 1, 2) SELECT cluster_id, region FROM k QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, f) = 1",
     "t5_period_clusters": f"WITH {ENTITIES}, q AS (SELECT {_sql_normal('period_label', 0)} period, {_sql_normal('period_label', 1)} s, {_sql_normal('period_label', 2)} e FROM entities) SELECT period, count(*) site_count, min(s) start_year, max(e) end_year, 0.5::double confidence FROM q WHERE period IS NOT NULL GROUP BY 1 HAVING count(*) >= 2",
     "y8_category_clusters": f"WITH {ENTITIES}, tf AS ({_TEXTS}), k AS (SELECT feature, id, row_number() OVER (PARTITION BY feature ORDER BY load_order, id) k, count(*) OVER (PARTITION BY feature) n FROM tf JOIN entities USING (id) WHERE feature LIKE 'cat:%') SELECT feature category, id entity, k::int k, 0.5::double confidence FROM k WHERE k <= 6 AND n >= 2",
