@@ -24,6 +24,8 @@ from ..session import cut
 
 #: Score from which an entry is taken, and its lead over the next other entry.
 LEAST_SCORE, LEAST_LEAD = 0.74, 0.015
+#: Keys of the vocabulary (about 100 bytes each) up to which it is broadcast.
+BROADCAST_KEYS = 200_000
 
 # The words that stored labels wrap around a value, by place.
 WRAPPERS = [
@@ -208,7 +210,9 @@ def match_values(values: DataFrame, terms: DataFrame, least: float = LEAST_SCORE
     spread = max(distinct.sparkSession.sparkContext.defaultParallelism, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = cut(forms.mapInPandas(vocabulary, "kind string, term_id long, form string, word string, key string"), "vocabulary")
     asked = distinct.repartition(spread, "kind", "value").mapInPandas(probes, "kind string, value string, token string, key string")
-    meets = asked.join(keys, ["kind", "key"]).where((F.col("token") == "") | (F.levenshtein("token", "word") <= F.when(F.length("word") < 4, 0).when(F.length("word") < 6, 1).when(F.length("word") < 12, 2).otherwise(3)))
+    # the planner can't know how many keys a value has: only a vocabulary of known size is broadcast
+    known = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("merge")
+    meets = asked.join(known, ["kind", "key"]).where((F.col("token") == "") | (F.levenshtein("token", "word") <= F.when(F.length("word") < 4, 0).when(F.length("word") < 6, 1).when(F.length("word") < 12, 2).otherwise(3)))
     pairs = cut(meets.select("kind", "value", "term_id", "form").distinct(), "pairs")
     # inverse document frequency of the vocabulary's words, within a kind
     words = F.filter(F.split(F.lower(F.regexp_replace("form", "'", "")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
