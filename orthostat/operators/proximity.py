@@ -53,9 +53,10 @@ def near_or_inside(sites: DataFrame, geometries: DataFrame, relations: DataFrame
     places = cut(locations(points), "places")
     members = points.join(places, ["lat", "lon"]).select("key", "rep")
     a, b = members.select(F.col("key").alias("key_a"), F.col("rep").alias("rep_a")), members.select(F.col("key").alias("key_b"), F.col("rep").alias("rep_b"))
-    apart = near_locations(places, radius_km).join(a, "rep_a").join(b, "rep_b").select("key_a", "key_b", "distance_km")
+    # what the sweeps find is written first: the planner would take it for as small as their input and broadcast it
+    apart = cut(near_locations(places, radius_km), "near").join(a, "rep_a").join(b, "rep_b").select("key_a", "key_b", "distance_km")
     together = a.join(b, F.col("rep_a") == F.col("rep_b")).where("key_a < key_b").select("key_a", "key_b", F.lit(0.0).alias("distance_km"))
-    inside = points_in_regions(places, areas, "area_id", "wkt").join(members, "rep").select(F.col("key").alias("key_a"), F.col("region").alias("key_b"), F.lit(None).cast("double").alias("distance_km"))
+    inside = cut(points_in_regions(places, areas, "area_id", "wkt"), "inside").join(members, "rep").select(F.col("key").alias("key_a"), F.col("region").alias("key_b"), F.lit(None).cast("double").alias("distance_km"))
     # record pairs name sites by normalised key; both must be in the catalogue
     known = points.select(F.lower(F.trim("key")).alias("k"), "key", F.col("lat").isNotNull().alias("located"))
     recorded = (

@@ -128,7 +128,8 @@ def near_points(points: DataFrame, radius_km: float, key: str = "key", lat: str
     places = cut(locations(points, key, lat, lon), "places")
     at = points.select(F.col(key).cast("string").alias("key"), F.col(lat).alias("lat"), F.col(lon).alias("lon")).where("key is not null").join(places, ["lat", "lon"]).select("key", "rep")
     x, y = at.select(F.col("key").alias("x"), F.col("rep").alias("rep_a")), at.select(F.col("key").alias("y"), F.col("rep").alias("rep_b"))
-    apart = near_locations(places, radius_km).join(x, "rep_a").join(y, "rep_b").select("x", "y", "distance_km")
+    # written first: the planner would take the sweep's result for as small as its input and broadcast it
+    apart = cut(near_locations(places, radius_km), "near").join(x, "rep_a").join(y, "rep_b").select("x", "y", "distance_km")
     together = x.join(y, F.col("rep_a") == F.col("rep_b")).where("x < y").select("x", "y", F.lit(0.0).alias("distance_km"))
     return apart.unionByName(together).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance_km")
 
