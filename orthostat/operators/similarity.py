@@ -2,42 +2,86 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.vector import dot, norm
 from .components import connected_components
 
 
-def feature_pairs(features: DataFrame, order: DataFrame, threshold: float = 0.3, least_features: int = 2) -> DataFrame:
-    """(a, b, shared, similarity) of entities whose feature sets are similar, a before b in load order.
+def feature_classes(features: DataFrame, least_features: int = 2) -> DataFrame:
+    """(entity, features): entities with their sorted feature set; those with fewer features are left out."""
+    sets = features.groupBy("entity").agg(F.sort_array(F.collect_set("feature")).alias("features"))
+    return sets.where(F.size("features") >= least_features)
 
-    An inverted-index join: pairs meet on a feature, are counted and compared with the sizes of
-    their sets. Entities with fewer than ``least_features`` features take no part.
+
+def feature_pairs(classes: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """(a, b, n_a, n_b, shared, similarity) of similar feature sets, a <= b, with their numbers of entities.
+
+    Entities of one feature set are one class, so that a feature that very many entities have
+    makes no pairs of entities; a set that two entities or more have is paired with itself. The
+    classes meet on a feature, if their sizes can reach the threshold.
     """
-    sizes = features.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= least_features)
-    rows = features.join(sizes, "entity").join(order.select(F.col("id").alias("entity"), "load_order"), "entity")
-    side = lambda s: rows.select("feature", F.col("entity").alias(s), F.col("n").alias(f"n_{s}"), F.col("load_order").alias(f"o_{s}"))
-    # sizes that can't reach the threshold never meet
-    fits = (F.col("o_a") < F.col("o_b")) & (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
-    met = side("a").join(side("b"), "feature").where(fits).groupBy("a", "b", "n_a", "n_b", "o_a", "o_b").agg(F.count("*").alias("shared"))
-    similarity = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
-    return met.withColumn("similarity", similarity).where(F.col("similarity") >= threshold - 1e-9)
+    sets = classes.groupBy("features").agg(F.count("*").alias("n"))
+    side = lambda s: sets.select(F.col("features").alias(s), F.col("n").alias(f"n_{s}"), F.explode("features").alias("feature"))
+    na, nb = F.size("a"), F.size("b")
+    fits = (F.col("a") < F.col("b")) & (na >= threshold * nb - 1e-9) & (nb >= threshold * na - 1e-9)
+    met = side("a").join(side("b"), "feature").where(fits).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    met = met.withColumn("similarity", F.col("shared") / (na + nb - F.col("shared"))).where(F.col("similarity") >= threshold - 1e-9)
+    alone = sets.where("n > 1").select(F.col("features").alias("a"), F.col("features").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.size("features").cast("long").alias("shared"), F.lit(1.0).alias("similarity"))
+    return met.unionByName(alone)
 
 
 def first_feature_pairs(features: DataFrame, order: DataFrame, threshold: float = 0.3, most: int = 20) -> DataFrame:
-    """The first ``most`` of those pairs in load order, as a report."""
-    return feature_pairs(features, order, threshold).orderBy("o_a", "o_b").limit(most).select("a", "b", "shared", "similarity")
+    """(a, b, shared, similarity) of the first ``most`` similar entity pairs in load order, as a report.
+
+    Such a pair has its ends among the first ``most`` + 1 entities of their classes.
+    """
+    classes = feature_classes(features)
+    pairs = feature_pairs(classes, threshold)
+    first = Window.partitionBy("features").orderBy("load_order", "entity")
+    members = classes.join(order.select(F.col("id").alias("entity"), "load_order"), "entity").withColumn("k", F.row_number().over(first)).where(F.col("k") <= most + 1)
+    side = lambda s: members.select(F.col("features").alias(s), F.col("entity").alias(f"e_{s}"), F.col("load_order").alias(f"o_{s}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("a") != F.col("b")) | (F.col("o_a") < F.col("o_b")))
+    swap = F.col("o_a") > F.col("o_b")
+    one, two = (F.struct(F.col(f"o_{s}").alias("o"), F.col(f"e_{s}").alias("e")) for s in "ab")
+    ends = rows.select(F.when(swap, two).otherwise(one).alias("x"), F.when(swap, one).otherwise(two).alias("y"), "shared", "similarity")
+    return ends.orderBy("x.o", "y.o").limit(most).select(F.col("x.e").alias("a"), F.col("y.e").alias("b"), "shared", "similarity")
+
+
+#: Vectors of a block.
+BLOCK = 1000
 
 
 def vector_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     """(category, a, b, cosine) of labels of one category, a < b, zero vectors skipped.
 
-    ``vectors`` has (category, label, vector). Norms are computed once per label.
+    ``vectors`` has (category, label, vector). A category is cut into blocks of about BLOCK
+    labels; two blocks are multiplied in one task, and only pairs above the threshold leave it.
     """
-    rows = vectors.withColumn("norm", norm(F.col("vector"))).where("norm > 0")
-    side = lambda s: rows.select("category", F.col("label").alias(s), F.col("vector").alias(f"v_{s}"), F.col("norm").alias(f"l_{s}"))
-    pairs = side("a").join(side("b"), "category").where("a < b")
-    return pairs.withColumn("cosine", dot(F.col("v_a"), F.col("v_b")) / (F.col("l_a") * F.col("l_b"))).where(F.col("cosine") >= threshold).select("category", "a", "b", "cosine")
+    sizes = vectors.groupBy("category").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = vectors.join(sizes, "category").withColumn("own", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.select("category", "label", "vector", "own", other.alias("other"))
+    rows = rows.select("category", "label", "vector", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def multiply(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+        x = np.stack(group["vector"].to_numpy()).astype(float)
+        length = np.sqrt((x * x).sum(axis=1))
+        keep = length > 0
+        x, own, label = x[keep] / length[keep, None], group["own"].to_numpy()[keep], group["label"].to_numpy()[keep]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        cosine = x[left] @ x[right].T
+        a, b = np.nonzero(cosine >= threshold)
+        la, lb = label[left[a]], label[right[b]]
+        if i == j:
+            kept = la < lb
+            a, b, la, lb = a[kept], b[kept], la[kept], lb[kept]
+        swap = la > lb
+        return pd.DataFrame({"category": group["category"].iloc[0], "a": np.where(swap, lb, la), "b": np.where(swap, la, lb), "cosine": cosine[a, b]})
+
+    return rows.groupBy("category", "i", "j").applyInPandas(multiply, "category string, a string, b string, cosine double")
 
 
 def merge_labels(counts: DataFrame, pairs: DataFrame) -> DataFrame:

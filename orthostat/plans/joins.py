@@ -91,12 +91,16 @@ def j8_region_closure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j10_feature_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.feature_pairs(site_features(spark, d), entities(spark, d)).select("a", "b", "shared", F.round("similarity", 6).alias("similarity"))
+    """J10 between classes of sites with equal features."""
+    pairs = similarity.feature_pairs(similarity.feature_classes(site_features(spark, d)))
+    return pairs.select(F.array_join("a", "|").alias("a"), F.array_join("b", "|").alias("b"), "n_a", "n_b", "shared", F.round("similarity", 6).alias("similarity"))
 
 
 _J10 = f"""{ENTITIES}, {_FEATURES}, sz AS (SELECT entity, count(*) n FROM feats GROUP BY 1 HAVING count(*) >= 2),
 fo AS (SELECT f.entity, feature, n, load_order o FROM feats f JOIN sz USING (entity) JOIN entities ON id = f.entity),
 pr AS (SELECT a.entity a, b.entity b, a.o oa, b.o ob, count(*) shared, a.n + b.n - count(*) u FROM fo a JOIN fo b ON a.feature = b.feature AND a.o < b.o GROUP BY a.entity, b.entity, a.n, b.n, a.o, b.o)"""
+_CLASSES = f"""{ENTITIES}, {_FEATURES}, st AS (SELECT entity, list_sort(list(feature)) s FROM feats GROUP BY 1 HAVING count(*) >= 2), cl AS (SELECT s, count(*) n FROM st GROUP BY s), ex AS (SELECT s, n, unnest(s) f FROM cl),
+cp AS (SELECT a.s a, b.s b, a.n n_a, b.n n_b, count(*) shared FROM ex a JOIN ex b ON a.f = b.f AND a.s < b.s GROUP BY 1, 2, 3, 4 UNION ALL SELECT s, s, n, n, len(s) FROM cl WHERE n > 1)"""
 
 
 def y9_first_feature_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -190,7 +194,7 @@ SQL = {
     "j3_member_warnings": f"WITH {ENTITIES}, {sql_proposals()} SELECT DISTINCT cluster_id, member, CASE WHEN id IS NULL THEN 'not found' ELSE 'invalid coordinates' END warning FROM prop LEFT JOIN entities ON id = member WHERE id IS NULL OR NOT {sql_valid('lat', 'lon')}",
     "j5_geometry_batch": f"WITH {ENTITIES} SELECT g geometry, lat, lon FROM geo WHERE g IN (SELECT {sql_key('geometry_uri')} FROM sites)",
     "j8_region_closure": "WITH RECURSIVE e AS (SELECT n_name c, r_name a FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT r_name, 'WORLD' FROM region), t AS (SELECT c, a FROM e UNION SELECT c, c FROM e UNION SELECT a, a FROM e UNION SELECT t.c, e.a FROM t JOIN e ON e.c = t.a) SELECT DISTINCT c AS class, a AS ancestor FROM t",
-    "j10_feature_pairs": f"WITH {_J10} SELECT a, b, shared, round(shared::double / u, 6) similarity FROM pr WHERE shared::double / u >= 0.3 - 1e-9",
+    "j10_feature_pairs": f"WITH {_CLASSES} SELECT array_to_string(a, '|') a, array_to_string(b, '|') b, n_a, n_b, shared, round(shared::double / (len(a) + len(b) - shared), 6) similarity FROM cp WHERE shared::double / (len(a) + len(b) - shared) >= 0.3 - 1e-9",
     "y9_first_feature_pairs": f"WITH {_J10} SELECT a, b, shared, round(shared::double / u, 6) similarity FROM pr WHERE shared::double / u >= 0.3 - 1e-9 ORDER BY oa, ob LIMIT 20",
     "j11_vector_pairs": f"WITH {_J11} SELECT category, a, b, round(cosine, 6) cosine FROM pr WHERE cosine >= 0.3",
     "y11_merged_labels": f"WITH RECURSIVE {_J11}, ed AS (SELECT category, a x, b y FROM pr WHERE cosine >= 0.35 UNION SELECT category, b, a FROM pr WHERE cosine >= 0.35), reach AS (SELECT category, label x, label y FROM v UNION SELECT r.category, r.x, ed.y FROM reach r JOIN ed ON ed.category = r.category AND ed.x = r.y) SELECT category, x AS label, first(y ORDER BY CAST(substr(y, 2) AS int) % 7 DESC, y) canonical, CAST(substr(x, 2) AS int) % 7 n FROM reach GROUP BY category, x",

@@ -135,3 +135,31 @@ def test_reports(spark):
 def test_flattened_caches(spark):
     rows = spark.sql("select 1 cache_id, map('k', named_struct('lat', 1.0D, 'lon', 2.0D)) points union all select 2, map('k', named_struct('lat', 3.0D, 'lon', 4.0D))")
     assert [(r["key"], r["lat"]) for r in enrich.flatten_caches(rows).collect()] == [("k", 3.0)]
+
+
+def test_feature_pairs_by_class(spark):
+    rows = [("e1", "x"), ("e1", "y"), ("e2", "x"), ("e2", "y"), ("e3", "x"), ("e3", "y"), ("e3", "z"), ("e4", "q"), ("e5", "q"), ("e5", "r")]
+    features = spark.createDataFrame(rows, "entity string, feature string")
+    got = {("".join(r["a"]), "".join(r["b"])): (r["n_a"], r["n_b"], round(r["similarity"], 3)) for r in similarity.feature_pairs(similarity.feature_classes(features)).collect()}
+    assert got == {("xy", "xy"): (2, 2, 1.0), ("xy", "xyz"): (2, 1, 0.667)}
+    order = spark.createDataFrame([("e1", 3), ("e2", 1), ("e3", 2), ("e5", 4)], "id string, load_order int")
+    assert [(r["a"], r["b"]) for r in similarity.first_feature_pairs(features, order).collect()] == [("e2", "e3"), ("e2", "e1"), ("e3", "e1")]
+    assert [(r["a"], r["b"]) for r in similarity.first_feature_pairs(features, order, most=1).collect()] == [("e2", "e3")]
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_vector_pairs_in_blocks(spark, monkeypatch, block):
+    import numpy as np
+
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    rng = np.random.default_rng(1)
+    rows = [(str(k % 2), f"v{k:02d}", (rng.standard_normal(4) * (k != 5)).tolist()) for k in range(24)]
+    got = [(r["category"], r["a"], r["b"]) for r in similarity.vector_pairs(spark.createDataFrame(rows, "category string, label string, vector array<double>"), 0.4).collect()]
+    want = set()
+    for c, a, x in rows:
+        for e, b, y in rows:
+            if c == e and a < b and (n := np.linalg.norm(x) * np.linalg.norm(y)) > 0 and np.dot(x, y) / n >= 0.4:
+                want.add((c, a, b))
+    assert len(got) == len(set(got)) and set(got) == want
+    empty = spark.createDataFrame([], "category string, label string, vector array<double>")
+    assert similarity.vector_pairs(empty, 0.4).count() == 0
