@@ -94,6 +94,7 @@ def display_name(name: Column, label: Column) -> Column:
 
 def reference_of(uri: Column, catalogue: str, data: str) -> Column:
     """Catalogue URIs by their last segment, other URLs as they are, the rest as local names."""
+    # fixed values: the marks of the catalogue's own URIs
     own = uri.contains("dati.beniculturali.it") | F.lower(uri).contains("arco")
     last = F.substring_index(F.regexp_replace(uri, "/+$", ""), "/", -1)
     url = uri.startswith("http://") | uri.startswith("https://")
