@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.uris import uri_key, uri_set
 from ..session import cut
@@ -58,16 +60,22 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
-    """(cases, links) of clusters, by overlap, and of relations, by their two ends."""
+    """(cases, links) of clusters, by overlap, and of relations, by their two ends.
+
+    The two don't depend on each other; their many small jobs run side by side.
+    """
     sites = uri_set(F.col("member_uris"))
     a, b = uri_key(F.col("source_uri")), uri_key(F.col("target_uri"))
     ends = F.when(a.isNotNull() & b.isNotNull(), F.array(a, b)).otherwise(F.array().cast("array<string>"))
-    out = []
-    for name, key, kind, values, label, threshold in (("clusters", "cluster_id", "cluster_type", sites, "label", 0.8), ("relations", "relation_id", "relation_type", ends, "metadata", 1.0)):
+
+    def link(name: str, key: str, kind: str, values: Column, label: str, threshold: float) -> tuple[DataFrame, DataFrame]:
         history = linkage.typed_sets(table(spark, d, f"history_{name}"), key, kind, values, label, "confidence")
         batch = linkage.typed_sets(table(spark, d, f"batch_{name}"), key, kind, values, label, "confidence", also=("batch_no",))
-        out.append(linkage.link_batches(history, batch, threshold))
-    return out
+        return linkage.link_batches(history, batch, threshold)
+
+    with ThreadPoolExecutor(2) as pool:
+        both = [pool.submit(link, *x) for x in (("clusters", "cluster_id", "cluster_type", sites, "label", 0.8), ("relations", "relation_id", "relation_type", ends, "metadata", 1.0))]
+        return [x.result() for x in both]
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
