@@ -15,7 +15,7 @@ from .functions import text
 from .graph.sinks import FORMATS
 from .operators.proximity import site_points
 from .params import Params
-from .session import cut, get_session
+from .session import cut, get_session, ship
 from .sources.records import read_records
 
 
@@ -34,6 +34,7 @@ def main(arguments: list[str] | None = None) -> int:
     except SystemExit as stop:
         return int(stop.code or 0)
     spark = get_session(master=given.master)
+    ship(spark)
     try:
         records = read_records(spark, given.records, given.limit)
         points = site_points(records, spark.read.parquet(given.geometries)).withColumnRenamed("key", "identifier")

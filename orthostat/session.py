@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,27 @@ def get_session(app: str = "orthostat", master: str | None = None, partitions: i
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    They then find it wherever the driver was started, on a cluster as well.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="orthostat-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    root = Path(__file__).resolve().parent
+    with zipfile.ZipFile(path := f"{folder}/orthostat.zip", "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, named by ``spark.checkpoint.dir``.
 
