@@ -2,7 +2,8 @@
 
 Each statistic of a language is summarised by a mergeable KLL quantile sketch. Sketches of all
 languages merge into one of the corpus. Values become robust z-scores against both, and
-documents in the tails of a distribution are flagged; the share of running prose then decides.
+documents in the tails of a distribution are flagged. Both only report: the share of running prose
+of a document alone decides, so that no other document changes what comes out.
 """
 
 from __future__ import annotations
@@ -184,5 +185,5 @@ def score(statistics: DataFrame, tail: float = TAIL) -> DataFrame:
 
 
 def junk(scored: DataFrame, least_prose: float = 0.5) -> DataFrame:
-    """Flagged documents of which less than ``least_prose`` is running prose; empty texts are among them."""
-    return scored.where((F.size("flags") > 0) & (F.col("prose_share") < least_prose))
+    """Documents of which less than ``least_prose`` is running prose, whether flagged or not; empty texts are among them."""
+    return scored.where(F.col("prose_share") < least_prose)

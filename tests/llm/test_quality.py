@@ -30,6 +30,25 @@ def test_junk(spark, common):
     assert got == {100, 101, 102, 103, 106, 107, 109}
 
 
+@pytest.mark.parametrize("share", [3, 2, 1])
+def test_junk_that_is_common_is_junk(spark, common, share):
+    rows = [(k, LIST if k % share == 0 else PROSE * (3 + k % 4), "it") for k in range(60)]
+    assert {r["doc_id"] for r in quality.junk(scored(spark, common, rows)).collect()} == {k for k in range(60) if k % share == 0}
+
+
+def test_half_prose_of_a_mixed_corpus_is_junk(spark, common):
+    mixed = LIST[:600] + "\n" + PROSE * 4
+    rows = [(k, PROSE * 4 if k % 3 else LIST, "it") for k in range(60)] + [(100, mixed, "it")]
+    got = scored(spark, common, rows)
+    assert 0.3 <= got.where("doc_id = 100").first()["prose_share"] < 0.5
+    assert 100 in {r["doc_id"] for r in quality.junk(got).collect()}
+
+
+def test_empty_texts_only_are_junk(spark, common):
+    rows = [(1, "", "it"), (2, None, None), (3, " \n ", "it"), (4, "", "en")]
+    assert {r["doc_id"] for r in quality.junk(scored(spark, common, rows)).collect()} == {1, 2, 3, 4}
+
+
 def test_statistics_by_hand(spark, common):
     df = spark.createDataFrame([(1, "Il muro, alto.\n\nUna casa 12", "it")], "doc_id long, text string, lang string")
     r = quality.text_statistics(df, common).first()
