@@ -1,4 +1,4 @@
-"""Command line: ``python -m orthostat.cli RECORDS GEOMETRIES OUT [--format F] [--limit N]``.
+"""Command line: ``python -m orthostat.cli RECORDS GEOMETRIES OUT [--format F] [--limit N] [--paths]``.
 
 Exit codes: 0 done, 1 shape violations, 2 wrong arguments, 3 unreadable input, 130 interrupted.
 """
@@ -28,6 +28,7 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("--limit", type=int, help="read so many records at most")
     parser.add_argument("--master", help="Spark master, if none is set")
     parser.add_argument("--max-radius-km", type=float, default=Params.max_radius_km)
+    parser.add_argument("--paths", action="store_true", help="make paths through the first clusters as well")
     parser.add_argument("--strict", action="store_true", help="shape violations give exit code 1")
     try:
         given = parser.parse_args(arguments)
@@ -40,8 +41,8 @@ def main(arguments: list[str] | None = None) -> int:
         points = site_points(records, spark.read.parquet(given.geometries)).withColumnRenamed("key", "identifier")
         # ids grow over the sorted partitions, hence in the order of the file names
         ordered = cut(records.orderBy("source_file").withColumn("load_order", F.monotonically_increasing_id()), "records")
-        sites = ordered.join(points, "identifier", "left").select(F.col("identifier").alias("id"), "load_order", "lat", "lon", text.period_in_label(F.col("label")).alias("period_label"))
-        result = pipeline.run(spark, sites, params=Params.load(max_radius_km=given.max_radius_km))
+        sites = ordered.join(points, "identifier", "left").select(F.col("identifier").alias("id"), "load_order", "lat", "lon", text.period_in_label(F.col("label")).alias("period_label"), text.site_name(F.col("label")).alias("name"), "description", "historical_info")
+        result = pipeline.run(spark, sites, params=Params.load(max_radius_km=given.max_radius_km), with_paths=given.paths)
         meta = pipeline.finish(result, given.out, given.format)
     except FileNotFoundError as missing:
         print(f"no such directory: {missing}", file=sys.stderr)

@@ -8,8 +8,8 @@ from ..functions import confidence
 from ..functions.text import excerpt, feature_label
 
 
-def materialized_features(rows: DataFrame, total: int, canonical: DataFrame | None = None) -> DataFrame:
-    """(category, feature, entity, n, confidence) of features that two entities or more have.
+def materialized_features(rows: DataFrame, total: int, canonical: DataFrame | None = None, least: int = 2) -> DataFrame:
+    """(category, feature, entity, n, confidence) of features that ``least`` entities or more have.
 
     ``rows`` has (category, label, entity); labels are normalised, blank ones left out.
     ``canonical`` (category, label, canonical) merges similar labels. Repeated rows count once.
@@ -19,7 +19,7 @@ def materialized_features(rows: DataFrame, total: int, canonical: DataFrame | No
         names = canonical.select("category", F.col("label").alias("feature"), "canonical")
         own = own.join(names, ["category", "feature"], "left").withColumn("feature", F.coalesce("canonical", "feature")).drop("canonical")
     own = own.distinct()
-    counts = own.groupBy("category", "feature").agg(F.count("*").alias("n")).where("n >= 2")
+    counts = own.groupBy("category", "feature").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     score = F.round(confidence.feature(F.col("n"), F.lit(total), F.col("category")), 2)
     return own.join(counts, ["category", "feature"]).select("category", "feature", "entity", "n", score.alias("confidence"))
 

@@ -89,17 +89,26 @@ def contemporary_relations(relations: DataFrame, sites: DataFrame) -> DataFrame:
     return rows.select(*relations.columns, matched.alias("matched_period"), reason.isNull().alias("is_valid"), score.alias("score"), reason.alias("reason"))
 
 
+def _with_features(proposals: DataFrame, features: DataFrame) -> DataFrame:
+    """(cluster_id, n): the number of members that have features."""
+    return proposals.join(features.select(F.col("entity").alias("member")).distinct(), "member", "left_semi").groupBy("cluster_id").agg(F.count("*").alias("n"))
+
+
+def shared_features(proposals: DataFrame, features: DataFrame, majority: float = 0.6) -> DataFrame:
+    """(cluster_id, feature, k, n): features that k of the n members with features have, a majority and two at least."""
+    rows = proposals.join(features.withColumnRenamed("entity", "member"), "member")
+    counts = rows.groupBy("cluster_id", "feature").agg(F.count("*").alias("k")).join(_with_features(proposals, features), "cluster_id")
+    return counts.where(F.col("k") >= F.greatest(F.lit(2), F.floor(F.col("n") * majority + 1e-9)))
+
+
 def typological_clusters(proposals: DataFrame, features: DataFrame, min_shared: int = 1, majority: float = 0.6, least: int = 2, most: int | None = None) -> DataFrame:
     """Y2: by the features that a majority of the members with features share.
 
     ``features`` has distinct (entity, feature). Coverage is the mean share of members that have
     a shared feature.
     """
-    rows = proposals.join(features.withColumnRenamed("entity", "member"), "member")
-    n = proposals.join(features.select(F.col("entity").alias("member")).distinct(), "member", "left_semi").groupBy("cluster_id").agg(F.count("*").alias("n"))
-    counts = rows.groupBy("cluster_id", "feature").agg(F.count("*").alias("k")).join(n, "cluster_id")
-    enough = F.greatest(F.lit(2), F.floor(F.col("n") * majority + 1e-9))
-    shared = counts.where(F.col("k") >= enough).groupBy("cluster_id").agg(F.count("*").alias("shared"), F.sum("k").alias("covered"))
+    n = _with_features(proposals, features)
+    shared = shared_features(proposals, features, majority).groupBy("cluster_id").agg(F.count("*").alias("shared"), F.sum("k").alias("covered"))
     out = proposals.select("cluster_id").distinct().join(n, "cluster_id", "left").join(shared, "cluster_id", "left").fillna(0, ["n", "shared", "covered"])
     size = F.when(F.col("n") < least, "too few members with features").when(F.col("n") > most, "too many members") if most else F.when(F.col("n") < least, "too few members with features")
     reason = F.coalesce(size, F.when(F.col("shared") < min_shared, "too few shared features"))

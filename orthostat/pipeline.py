@@ -15,15 +15,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import confidence
 from .functions.period import normalized_period
+from .functions.text import features_in
 from .graph import mapping, sinks, validate
 from .graph.ontology import Namespaces
-from .operators import fallback, novelty, validation
+from .operators import fallback, features, novelty, similarity, validation
 from .params import Params
 from .session import cut, shared_dir
 
 
 class ProposalSource(Protocol):
-    """Whatever proposes clusters and relations for some sites."""
+    """Whatever proposes clusters, relations, features and paths for some sites.
+
+    All but clusters and relations may be None.
+    """
 
     def clusters(self, sites: DataFrame) -> DataFrame:
         """(cluster_id, cluster_type, label, member, stated)."""
@@ -31,6 +35,18 @@ class ProposalSource(Protocol):
     def relations(self, sites: DataFrame) -> DataFrame:
         """(relation_id, relation_type, source, target, stated)."""
 
+    def features(self, sites: DataFrame) -> DataFrame | None:
+        """(entity, category, label) of extracted features."""
+
+    def vectors(self, sites: DataFrame) -> DataFrame | None:
+        """(id, vector) of the sites' texts; a similarTo proposal without both vectors is invalid."""
+
+    def label_vectors(self, sites: DataFrame) -> DataFrame | None:
+        """(category, label, vector) of normalised feature labels; similar ones are merged."""
+
+    def paths(self, sites: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        """(path_id, path_type, theme, label, stated) and the stops (path_id, ord, member)."""
+
 
 @dataclass
 class TableProposals:
@@ -38,6 +54,10 @@ class TableProposals:
 
     cluster_rows: DataFrame
     relation_rows: DataFrame
+    feature_rows: DataFrame | None = None
+    vector_rows: DataFrame | None = None
+    label_vector_rows: DataFrame | None = None
+    path_rows: tuple[DataFrame, DataFrame] | None = None
 
     def clusters(self, sites: DataFrame) -> DataFrame:
         return self.cluster_rows
@@ -45,6 +65,18 @@ class TableProposals:
     def relations(self, sites: DataFrame) -> DataFrame:
         return self.relation_rows
 
+    def features(self, sites: DataFrame) -> DataFrame | None:
+        return self.feature_rows
+
+    def vectors(self, sites: DataFrame) -> DataFrame | None:
+        return self.vector_rows
+
+    def label_vectors(self, sites: DataFrame) -> DataFrame | None:
+        return self.label_vector_rows
+
+    def paths(self, sites: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        return self.path_rows
+
 
 def assertion_id(prefix: str, kind, members) -> F.Column:
     """A deterministic id: a prefix and a digest of type and sorted members."""
@@ -88,6 +120,113 @@ def accepted_relations(sites: DataFrame, proposals: DataFrame, params: Params) -
     return rows.select(assertion_id("rel_", F.col("relation_type"), pair).alias("assertion_id"), F.col("relation_type").alias("assertion_type"), F.col("source").alias("source_uri"), F.col("target").alias("target_uri"), F.array("source").alias("subject_uris"), F.array("target").alias("object_uris"), agent.alias("generated_by"), score.alias("confidence"), "relation_value")
 
 
+def site_features(sites: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
+    """(entity, feature): extracted features but for material ones, else the words of the site's texts."""
+    both = F.concat_ws(" ", F.lit(""), *(c for c in ("description", "historical_info") if c in sites.columns))
+    words = sites.select(F.col("id").alias("entity"), F.explode(features_in(both)).alias("feature")).distinct()
+    if extracted is None:
+        return words
+    listed = extracted.where(F.col("category").isin("architectural", "functional", "contextual")).select("entity", F.col("label").alias("feature")).where("feature is not null").distinct()
+    return listed.unionByName(words.join(extracted.select("entity").distinct(), "entity", "left_anti"))
+
+
+def accepted_types(proposals: DataFrame, found: DataFrame, params: Params) -> DataFrame:
+    """Assertions of the typological cluster proposals that validation accepts, by the features ``found``."""
+    own = proposals.where("cluster_type = 'typological'")
+    members = own.select("cluster_id", "member")
+    valid = validation.typological_clusters(members, found, params.min_shared, params.majority).where("is_valid").select("cluster_id", "score")
+    shared = validation.shared_features(members, found, params.majority).groupBy("cluster_id").agg(F.sort_array(F.collect_set("feature")).alias("shared_features"))
+    lists = own.groupBy("cluster_id", "label", "stated").agg(F.count("*").alias("proposed"), F.sort_array(F.collect_set("member")).alias("subject_uris"))
+    score = F.round(confidence.cluster(F.col("stated"), F.col("score"), F.col("proposed")), 2)
+    rows = lists.join(valid, "cluster_id").join(shared, "cluster_id", "left")
+    return rows.select(assertion_id("typ_cluster_", F.lit("typological"), F.col("subject_uris")).alias("assertion_id"), F.lit("typological_cluster").alias("assertion_type"), "label", "subject_uris", F.lit("type_analyzer").alias("generated_by"), score.alias("confidence"), F.col("label").alias("typology"), "shared_features")
+
+
+def _names(sites: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name) of the sites; the name is null where sites have none."""
+    return sites.select(F.col("id").alias(key), (F.col("name") if "name" in sites.columns else F.lit(None).cast("string")).alias(name))
+
+
+def _similar(rows: DataFrame, sites: DataFrame, score: F.Column, value: F.Column) -> DataFrame:
+    """similarTo assertions of rows (source, target)."""
+    a, b = F.col("source"), F.col("target")
+    kind = F.lit("similarTo")
+    rows = rows.join(_names(sites, "source", "name_a"), "source", "left").join(_names(sites, "target", "name_b"), "target", "left")
+    label = F.concat(F.coalesce("name_a", a), F.lit(" similar to "), F.coalesce("name_b", b))
+    return rows.select(assertion_id("rel_", kind, F.array(a, b)).alias("assertion_id"), kind.alias("assertion_type"), label.alias("label"), a.alias("source_uri"), b.alias("target_uri"), F.array(a).alias("subject_uris"), F.array(b).alias("object_uris"), F.lit("type_analyzer").alias("generated_by"), score.alias("confidence"), value.alias("relation_value"))
+
+
+def accepted_similar(sites: DataFrame, proposals: DataFrame, vectors: DataFrame | None, params: Params) -> DataFrame:
+    """Assertions of the similarTo proposals whose blend of stated score and cosine is high enough."""
+    if vectors is None:
+        vectors = proposals.sparkSession.createDataFrame([], "id string, vector array<double>")
+    rows = validation.similar_relations(proposals.where("relation_type = 'similarTo'"), vectors, "stated", params.similarity_score).where("is_valid")
+    return _similar(rows, sites, F.round("score", 2), F.col("cosine"))
+
+
+def feature_assertions(sites: DataFrame, extracted: DataFrame, label_vectors: DataFrame | None, params: Params) -> DataFrame:
+    """Assertions of the extracted features that two sites or more have; similar labels are merged."""
+    rows, canonical = extracted.select("category", "label", "entity"), None
+    if label_vectors is not None:
+        total = features.materialized_features(rows, 0, least=1)
+        counts = total.select("category", F.col("feature").alias("label"), "n").distinct()
+        canonical = similarity.merge_labels(counts, similarity.vector_pairs(label_vectors, params.label_cosine))
+    made = features.materialized_features(rows, sites.count(), canonical)
+    digest = F.substring(F.md5(F.concat_ws("|", "category", "feature", "entity")), 1, 8)
+    return made.select(F.concat(F.lit("feature_"), digest).alias("assertion_id"), F.lit("extracted_feature").alias("assertion_type"), F.concat("feature", F.lit(" ("), "category", F.lit(")")).alias("label"), F.array("entity").alias("subject_uris"), F.lit("type_analyzer").alias("generated_by"), "confidence", F.col("category").alias("feature_category"), F.col("feature").alias("feature_label"), F.col("entity").alias("entity_uri"))
+
+
+def fallback_types(sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Assertions of the fallbacks Y8 and Y9: clusters of one functional category, and similar feature sets."""
+    found = cut(site_features(sites), "features")
+    rows = fallback.category_clusters(found, sites).groupBy("category", "confidence").agg(F.array_sort(F.collect_list(F.struct("k", "entity")))["entity"].alias("subject_uris"))
+    label = F.concat(F.initcap(F.regexp_replace("category", "^cat:", "")), F.lit(" Sites"))
+    clusters = rows.select(assertion_id("fallback_", F.col("category"), F.col("subject_uris")).alias("assertion_id"), F.lit("typological_cluster").alias("assertion_type"), label.alias("label"), "subject_uris", F.lit("type_analyzer").alias("generated_by"), "confidence")
+    pairs = similarity.first_feature_pairs(found, sites).withColumnsRenamed({"a": "source", "b": "target"})
+    return clusters, _similar(pairs, sites, F.lit(0.5), F.col("similarity"))
+
+
+_PATH_COLUMNS = ["assertion_id", "assertion_type", "label", "subject_uris", "generated_by", "confidence", "path_type", "theme", "duration_hours"]
+
+
+def _paths(rows: DataFrame) -> DataFrame:
+    digest = F.substring(F.md5(F.concat_ws("|", F.coalesce("theme", F.lit("")), "path_type", F.array_join("subject_uris", ","))), 1, 8)
+    return rows.withColumns({"assertion_id": F.concat(F.lit("path_"), digest), "assertion_type": F.lit("thematic_path"), "generated_by": F.lit("path_generator")}).select(*_PATH_COLUMNS).dropDuplicates(["assertion_id"])
+
+
+def accepted_paths(sites: DataFrame, paths: DataFrame, stops: DataFrame, params: Params) -> DataFrame:
+    """Assertions of all path proposals: paths are scored, not filtered (Q9), after long ones are cut."""
+    lists = stops.where("member is not null").groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("ord", "member")))["member"].alias("listed"))
+    kept = features.kept_stops(F.coalesce("listed", F.array().cast("array<string>")), params.max_stops)
+    own = paths.distinct().withColumn("path_type", F.lower(F.coalesce("path_type", F.lit("mixed")))).join(lists, "path_id", "left").withColumn("subject_uris", kept)
+    rows = own.select("path_id", F.posexplode("subject_uris").alias("ord", "member"))
+    checked = validation.thematic_paths(rows, sites, own.select("path_id", "path_type"), params.max_path_km).select("path_id", "score", F.col("stops").alias("n"))
+    score = F.round(confidence.path(F.col("stated"), F.col("score"), F.col("n"), F.lit(None).cast("double")), 2)
+    return _paths(own.join(checked, "path_id").withColumn("confidence", score).withColumn("duration_hours", F.lit(None).cast("double")))
+
+
+def fallback_paths(clusters: DataFrame, params: Params) -> DataFrame:
+    """P5: assertions of a path through each of the first three clusters: geographic, then chronological, then typological ones."""
+    rank = F.when(F.col("assertion_type") == "geographic_cluster", 0).when(F.col("assertion_type") == "chronological_cluster", 1).otherwise(2)
+    members = clusters.select(F.col("assertion_id").alias("cluster_id"), F.posexplode("subject_uris").alias("ord", "member"))
+    rows = fallback.cluster_paths(members, clusters.select(F.col("assertion_id").alias("cluster_id"), rank.alias("rank")), most_stops=params.max_stops)
+    lists = rows.groupBy("path_id", "duration_hours").agg(F.array_sort(F.collect_list(F.struct("stop_order", "member")))["member"].alias("subject_uris"))
+    names = clusters.select(F.concat(F.lit("path_"), "assertion_id").alias("path_id"), F.concat(F.lit("Visit: "), "label").alias("label"))
+    return _paths(lists.join(names, "path_id").withColumns({"theme": F.lit("mixed"), "path_type": F.lit("mixed"), "confidence": F.lit(0.5)}))
+
+
+def with_stops(paths: DataFrame, sites: DataFrame, params: Params) -> DataFrame:
+    """The paths with their stops, and the stops as assertions of their own."""
+    stops = features.path_stops(paths.select(F.col("assertion_id").alias("path_id"), F.col("subject_uris").alias("stops")), _names(sites, "id", "name"), params.max_stops)
+    stops = stops.withColumn("label", F.concat(F.lit("Stop "), F.col("stop_order").cast("string"), F.lit(": "), "label"))
+    none = F.lit(None).cast("string")
+    stop = F.struct("stop_order", "stop_id", F.col("member").alias("site_uri"), "label", none.alias("narrative"), none.alias("connection_reason"))
+    lists = stops.groupBy(F.col("path_id").alias("assertion_id")).agg(F.transform(F.array_sort(F.collect_list(stop)), lambda x: x.dropFields("stop_order")).alias("stops"))
+    scores = paths.select(F.col("assertion_id").alias("path_id"), "confidence", "generated_by")
+    single = stops.join(scores, "path_id").select(F.col("stop_id").alias("assertion_id"), F.lit("path_stop").alias("assertion_type"), "label", F.array("member").alias("subject_uris"), "generated_by", "confidence", F.col("member").alias("site_uri"), "stop_order", "path_id")
+    return mapping.complete(paths.join(lists, "assertion_id", "left")).unionByName(mapping.complete(single))
+
+
 @dataclass
 class Result:
     """What a run made; all lazily, but for the tables that several steps read."""
@@ -99,30 +238,45 @@ class Result:
     review: DataFrame
 
 
-def run(spark: SparkSession, sites: DataFrame, source: ProposalSource | None = None, history: tuple[DataFrame, DataFrame] | None = None, params: Params | None = None, ns: Namespaces = Namespaces()) -> Result:
-    """Sites (id, load_order, lat, lon, period_label) to a checked graph.
+def run(spark: SparkSession, sites: DataFrame, source: ProposalSource | None = None, history: tuple[DataFrame, ...] | None = None, params: Params | None = None, ns: Namespaces = Namespaces(), with_paths: bool = True) -> Result:
+    """Sites (id, load_order, lat, lon, period_label, perhaps name, description, historical_info) to a checked graph.
 
-    ``history`` has the known clusters (item, kind, tokens, confidence) and relations (item,
-    kind, a, b, confidence); known assertions are dropped.
+    ``history`` has the known clusters (item, kind, tokens, confidence), relations (item,
+    kind, a, b, confidence) and perhaps paths (item, theme, tokens, confidence); known assertions
+    are dropped, a path with its stops. Features are never dropped.
     """
     params = params or Params.load()
     shared_dir(spark)
+    extracted = paths = None
     if source is None:
-        clusters, relations = fallback_clusters(sites, params), None
+        types, relations = fallback_types(sites)
+        clusters = fallback_clusters(sites, params).unionByName(types)
     else:
-        clusters, relations = accepted_clusters(sites, source.clusters(sites), params), accepted_relations(sites, source.relations(sites), params)
+        proposed, pairs, extracted = source.clusters(sites), source.relations(sites), source.features(sites)
+        clusters = accepted_clusters(sites, proposed, params).unionByName(accepted_types(proposed, site_features(sites, extracted), params), allowMissingColumns=True)
+        relations = accepted_relations(sites, pairs, params).unionByName(accepted_similar(sites, pairs, source.vectors(sites), params), allowMissingColumns=True)
+        if with_paths and (found := source.paths(sites)) is not None:
+            paths = accepted_paths(sites, *found, params)
     if history:
         kind = F.regexp_replace("assertion_type", "_cluster$", "")
         items = clusters.select(F.col("assertion_id").alias("item"), kind.alias("kind"), F.col("subject_uris").alias("tokens"))
         fresh = novelty.cluster_novelty(items, history[0], params.cluster_overlap).where("novel").select(F.col("item").alias("assertion_id"))
         clusters = clusters.join(fresh, "assertion_id", "left_semi")
-        if relations is not None:
-            pairs = relations.select(F.col("assertion_id").alias("item"), F.col("assertion_type").alias("kind"), *novelty.pair_key(F.col("source_uri"), F.col("target_uri")))
-            fresh = novelty.relation_novelty(pairs, history[1]).where("novel").select(F.col("item").alias("assertion_id"))
-            relations = relations.join(fresh, "assertion_id", "left_semi")
-    assertions = mapping.complete(clusters)
-    if relations is not None:
-        assertions = assertions.unionByName(mapping.complete(relations))
+        pairs = relations.select(F.col("assertion_id").alias("item"), F.col("assertion_type").alias("kind"), *novelty.pair_key(F.col("source_uri"), F.col("target_uri")))
+        fresh = novelty.relation_novelty(pairs, history[1]).where("novel").select(F.col("item").alias("assertion_id"))
+        relations = relations.join(fresh, "assertion_id", "left_semi")
+    if source is None and with_paths:
+        clusters = cut(clusters, "clusters")
+        paths = fallback_paths(clusters, params)
+    if paths is not None and history and len(history) > 2:
+        items = paths.select(F.col("assertion_id").alias("item"), "theme", F.array_distinct("subject_uris").alias("tokens"))
+        fresh = novelty.path_novelty(items, history[2], params.path_overlap).where("novel").select(F.col("item").alias("assertion_id"))
+        paths = paths.join(fresh, "assertion_id", "left_semi")
+    assertions = mapping.complete(clusters).unionByName(mapping.complete(relations))
+    if extracted is not None:
+        assertions = assertions.unionByName(mapping.complete(feature_assertions(sites, extracted, source.label_vectors(sites), params)))
+    if paths is not None:
+        assertions = assertions.unionByName(with_stops(paths, sites, params))
     assertions = cut(assertions.withColumn("created_at", F.coalesce("created_at", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))), "assertions")
     triples = cut(mapping.triples(assertions, ns), "triples")
     return Result(assertions, triples, validate.shape_violations(triples, ns), validate.vocabulary_warnings(triples, ns), validate.review_rows(triples, ns))

@@ -92,6 +92,54 @@ def test_run_with_proposals_and_history(spark):
     assert pipeline.run(spark, sites, source, history).assertions.count() == 0  # a second run knows it all
 
 
+CLUSTERS = "cluster_id string, cluster_type string, label string, member string, stated double"
+RELATIONS = "relation_id string, relation_type string, source string, target string, stated double"
+
+
+def counts_of(result):
+    return {r["assertion_type"]: r["count"] for r in result.assertions.groupBy("assertion_type").count().collect()}
+
+
+def test_run_with_types_and_paths(spark):
+    sites = spark.createDataFrame([(f"s{k}", k, 40.0 + k / 100, 10.0, None) for k in range(20)], SITES)
+    clusters = spark.createDataFrame([(c, "typological", "Passage graves", m, 0.9) for c, ms in (("c1", ("s1", "s2")), ("c2", ("s1", "s3"))) for m in ms], CLUSTERS)
+    relations = spark.createDataFrame([("r1", "similarTo", "s1", "s2", 0.9), ("r2", "similarTo", "s1", "s3", 0.2), ("r3", "similarTo", "s1", "s9", 0.9)], RELATIONS)
+    extracted = spark.createDataFrame([("s1", "architectural", "Slab"), ("s2", "architectural", "Slab"), ("s1", "material", "granite"), ("s3", "material", "granite"), ("s3", "functional", "burial")], "entity string, category string, label string")
+    vectors = spark.createDataFrame([("s1", [1.0, 0.0]), ("s2", [1.0, 0.1]), ("s3", [0.0, 1.0])], "id string, vector array<double>")
+    paths = spark.createDataFrame([("p1", "geographic", "tombs", "Walk", 0.9), ("p2", "mixed", "tombs", "Unknown", 0.9)], "path_id string, path_type string, theme string, label string, stated double")
+    stops = spark.createDataFrame([("p1", k, f"s{k}") for k in range(20)] + [("p2", 0, "s1"), ("p2", 1, "nowhere")], "path_id string, ord int, member string")
+    source = pipeline.TableProposals(clusters, relations, extracted, vectors, None, (paths, stops))
+    result = pipeline.run(spark, sites, source)
+    assert counts_of(result) == {"typological_cluster": 1, "similarTo": 1, "extracted_feature": 4, "thematic_path": 2, "path_stop": 12}
+    got = {r["label"]: r for r in result.assertions.collect()}
+    assert got["Passage graves"]["shared_features"] == ["Slab"] and got["Passage graves"]["subject_uris"] == ["s1", "s2"]
+    assert len(got["Walk"]["stops"]) == 10 and got["Walk"]["subject_uris"] == [f"s{k}" for k in range(10)]  # cut to max_stops
+    assert got["Unknown"]["confidence"] < got["Walk"]["confidence"]  # scored, not filtered
+    assert [r.asDict() for r in result.violations.collect()] == []
+    history = (
+        result.assertions.where("assertion_type like '%cluster'").select(F.col("assertion_id").alias("item"), F.lit("typological").alias("kind"), F.col("subject_uris").alias("tokens"), F.lit(0.9).alias("confidence")),
+        result.assertions.where("source_uri is not null").select(F.col("assertion_id").alias("item"), F.col("assertion_type").alias("kind"), F.least("source_uri", "target_uri").alias("a"), F.greatest("source_uri", "target_uri").alias("b"), F.lit(0.9).alias("confidence")),
+        result.assertions.where("assertion_type = 'thematic_path'").select(F.col("assertion_id").alias("item"), "theme", F.col("subject_uris").alias("tokens"), F.lit(0.9).alias("confidence")),
+    )
+    assert counts_of(pipeline.run(spark, sites, source, history)) == {"extracted_feature": 4}
+
+
+def test_similar_feature_labels_are_merged(spark):
+    sites = spark.createDataFrame([("s1", 1, None, None, None), ("s2", 2, None, None, None)], SITES)
+    extracted = spark.createDataFrame([("s1", "architectural", "slab"), ("s2", "architectural", "slabs")], "entity string, category string, label string")
+    vectors = spark.createDataFrame([("architectural", "slab", [1.0, 0.0]), ("architectural", "slabs", [1.0, 0.1])], "category string, label string, vector array<double>")
+    made = lambda v: {(r["feature_label"], r["entity_uri"]) for r in pipeline.feature_assertions(sites, extracted, v, Params()).collect()}
+    assert made(None) == set() and made(vectors) == {("slab", "s1"), ("slab", "s2")}
+
+
+def test_run_with_all_fallbacks(spark):
+    text = "Dolmen con camera e corridoio, tomba con sepoltura"
+    sites = spark.createDataFrame([(f"s{k}", k, 40.0 + k, 10.0, None, text, None) for k in range(3)], SITES + ", description string, historical_info string")
+    got = counts_of(pipeline.run(spark, sites))
+    assert got == {"typological_cluster": 1, "similarTo": 3, "thematic_path": 1, "path_stop": 3}
+    assert set(counts_of(pipeline.run(spark, sites, with_paths=False))) == {"typological_cluster", "similarTo"}
+
+
 def test_command_line(spark, directory, tmp_path):
     spark.createDataFrame([("g/1", 40.0, 9.0, None), ("g/2", 40.001, 9.0, None)], "geometry_uri string, latitude double, longitude double, wkt string").write.parquet(str(tmp_path / "g"))
     assert cli.main([str(directory), str(tmp_path / "g"), str(tmp_path / "out"), "--format", "turtle"]) == 0
