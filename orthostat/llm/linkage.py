@@ -6,7 +6,8 @@ a similar record can't all lack (rarest first, by frequencies kept from the hist
 set itself. A batch probes these tables, so that the history is neither read as a whole nor
 prepared again; accepted records are appended as further key tables. Candidate pairs are
 scored field by field with weights learned from agreement patterns (Fellegi-Sunter, by EM), the
-exact rule decides, and matches join the representatives of the touched records only.
+exact rule decides, and matches join the representatives of the touched records only. Equal sets
+are one class in the key tables; the members of the touched classes are joined at the end.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ class KnownRecords:
     threshold: float
     ranks: DataFrame | None = None
     paths: list[str] = field(default_factory=list)
+    added: list[DataFrame] = field(default_factory=list)
     buckets: int = 1
     weights: dict[str, list[float]] = field(default_factory=dict)
 
@@ -72,13 +74,25 @@ class KnownRecords:
         return keyed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int"))
 
     def add(self, sets: DataFrame) -> None:
-        """Append sets to the key tables; equal sets of one kind are kept once, under their smallest item."""
+        """Append sets to the key tables; equal sets of one kind are kept once, under their smallest item.
+
+        ``sets`` itself, which should come from written tables, is kept for :meth:`members`.
+        """
         path = table_path(self.spark, "known")
+        self.added.append(sets.select("kind", "tokens", "item"))
         first = F.min(F.struct("item", "label", "confidence")).alias("r")
         classes = sets.where("kind is not null and size(tokens) > 0").groupBy("kind", "tokens").agg(first).select("kind", "tokens", "r.*")
         self.keyed(classes).select("key", "kind", "tokens", "item", "label", "confidence", "bucket").write.partitionBy("bucket").parquet(path)
         self.paths.append(path)
 
+    def members(self, found: DataFrame) -> DataFrame:
+        """(item, k_item) of all known records whose class the matches ``found`` touch, but for the class's own item."""
+        touched = found.select("kind", F.col("k_tokens").alias("tokens"), "k_item").distinct()
+        rows = None
+        for part in self.added:
+            rows = part if rows is None else rows.unionByName(part)
+        return rows.join(touched, ["kind", "tokens"]).where("item != k_item").select("item", "k_item")
+
     def _known(self) -> DataFrame:
         rows = None
         for path in self.paths:
@@ -105,13 +119,13 @@ class KnownRecords:
         self.weights = fellegi_sunter([tuple(r[f] for f in FIELDS) for r in counts], [r["count"] for r in counts])
 
     def matches(self, sets: DataFrame) -> DataFrame:
-        """(item, kind, tokens, k_item, similarity, score) of the known records that the rule accepts."""
+        """(item, kind, tokens, k_item, k_tokens, similarity, score) of the known classes that the rule accepts."""
         pairs = self.candidates(sets.where("kind is not null and size(tokens) > 0")).where(F.col("similarity") >= self.threshold - _EPS)
         pairs = pairs.withColumns({f: level for f, level in zip(FIELDS, levels())})
         score = F.lit(0.0)
         for f in FIELDS:
             score = score + F.element_at(F.array(*(F.lit(w) for w in self.weights[f])), F.col(f) + 1)
-        return pairs.withColumn("score", score).select("item", "kind", "tokens", "k_item", "similarity", "score")
+        return pairs.withColumn("score", score).select("item", "kind", "tokens", "k_item", "k_tokens", "similarity", "score")
 
 
 def levels() -> list[Column]:
@@ -153,26 +167,28 @@ def link_batches(history: DataFrame, batches: DataFrame, threshold: float, least
     """(cases, links) of batches (batch_no and the columns of :func:`typed_sets`) against the history.
 
     ``cases`` (batch_no, item, matched, similarity, score) has each item that a known record
-    matches, with the best one. ``links`` (item, k_item) has all its matches. Batches are taken
+    matches, with the best one. ``links`` (item, k_item) has all its matches, each with the smallest
+    item of its class, and the other known records of these classes. Batches are taken
     in the order of ``batch_no``; rows without one are left out. Known are history rows and items
     of earlier batches that weren't cases, of at least ``least_confidence`` (null is below).
     """
     spark = history.sparkSession
     known = KnownRecords.build(spark, history.where(F.col("confidence") >= least_confidence), threshold)
     rows = cut(batches.where("batch_no is not null"), "batches")
-    cases = links = None
+    cases = links = every = None
     for batch in sorted(r[0] for r in rows.select("batch_no").distinct().collect()):
         own = rows.where(F.col("batch_no") == batch)
         found = cut(known.matches(own), "matches")
         best = F.max(F.struct("score", "similarity", F.col("k_item").alias("matched"))).alias("b")
         case = found.groupBy("item").agg(best).select(F.lit(batch).alias("batch_no"), "item", "b.matched", "b.similarity", "b.score")
-        link = found.select("item", "k_item").distinct()
-        cases, links = (case, link) if cases is None else (cases.unionByName(case), links.unionByName(link))
-        fresh = own.where(F.col("confidence") >= least_confidence).join(found.select("item").distinct(), "item", "left_anti")
+        cases, every = (case, found) if cases is None else (cases.unionByName(case), every.unionByName(found))
+        fresh = cut(own.where(F.col("confidence") >= least_confidence).join(found.select("item").distinct(), "item", "left_anti"), "fresh")
         known.add(fresh)
     if cases is None:
         cases = spark.createDataFrame([], "batch_no int, item string, matched string, similarity double, score double")
         links = spark.createDataFrame([], "item string, k_item string")
+    else:
+        links = every.select("item", "k_item").unionByName(known.members(every)).distinct()
     return cases, links
 
 

@@ -47,6 +47,19 @@ def test_pairs_at_threshold_one(spark):
     assert {(r["batch_no"], r["item"]) for r in cases.collect()} == {(1, "n1"), (2, "n4")}
 
 
+@pytest.mark.parametrize("threshold", [0.8, 1.0])
+def test_all_members_of_a_touched_class_have_representatives(spark, threshold):
+    many = [f"h{k:02}" for k in range(30)]
+    history = sets(spark, [row(i, "near", ["x", "y"]) for i in many] + [row("low", "near", ["x", "y"], 0.5), row("other", "same", ["x", "y"]), row("far", "near", ["p", "q"]), row("far2", "near", ["p", "q"])])
+    batch = sets(spark, [row("n1", "near", ["y", "x"], 0.9, 1), row("e1", "near", ["u", "v"], 0.9, 1), row("e2", "near", ["u", "v"], 0.9, 1), row("e3", "near", ["v", "u"], 0.9, 2)], batches=True)
+    cases, links = linkage.link_batches(history, batch, threshold)
+    assert {(r["batch_no"], r["item"]) for r in cases.collect()} == {(1, "n1"), (2, "e3")}
+    groups = {}
+    for r in linkage.representatives(links).collect():
+        groups.setdefault(r["representative"], set()).add(r["item"])
+    assert sorted(map(sorted, groups.values())) == [["e1", "e2", "e3"], [*many, "n1"]]
+
+
 @pytest.mark.parametrize("threshold", [0.8, 1.0])
 def test_empty(spark, threshold):
     nothing = sets(spark, [])
