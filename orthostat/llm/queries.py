@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.uris import uri_key, uri_set
-from ..session import cut
+from ..session import cut, table_path
 from ..sources.tables import table
 from . import bisect, leakage, linkage, mixing, quality, repair, setjoin
 
@@ -59,35 +59,46 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return bisect.describe_leaves(bisect.similarity_groups(words, "identifier", "words"), words, "identifier", "words")
 
 
-def _links(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
-    """(cases, links) of clusters, by overlap, and of relations, by their two ends.
+def _linked(spark: SparkSession, d: str, unite: bool = False) -> list[tuple[DataFrame, linkage.KnownRecords]]:
+    """(cases, known records after the last batch) of clusters, by overlap, and of relations, by their two ends.
 
-    The two don't depend on each other; their many small jobs run side by side.
+    The history is indexed under a fresh path of this call. The two don't depend on each other;
+    their many small jobs run side by side.
     """
     sites = uri_set(F.col("member_uris"))
     a, b = uri_key(F.col("source_uri")), uri_key(F.col("target_uri"))
     ends = F.when(a.isNotNull() & b.isNotNull(), F.array(a, b)).otherwise(F.array().cast("array<string>"))
 
-    def link(name: str, key: str, kind: str, values: Column, label: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-        history = linkage.typed_sets(table(spark, d, f"history_{name}"), key, kind, values, label, "confidence")
-        batch = linkage.typed_sets(table(spark, d, f"batch_{name}"), key, kind, values, label, "confidence", also=("batch_no",))
-        return linkage.link_batches(history, batch, threshold)
+    def run(name: str, key: str, kind: str, values: Column, label: str | None, value: str | None, threshold: float) -> tuple[DataFrame, linkage.KnownRecords]:
+        history = linkage.typed_sets(table(spark, d, f"history_{name}"), key, kind, values, label, "confidence", value=value)
+        batches = linkage.typed_sets(table(spark, d, f"batch_{name}"), key, kind, values, label, "confidence", ("batch_no",), value)
+        known = linkage.KnownRecords.create(spark, table_path(spark, f"known-{name}"), history.where("confidence >= 0.70"), threshold)
+        return linkage.link_all(known, batches, unite=unite)[0], known
 
     with ThreadPoolExecutor(2) as pool:
-        both = [pool.submit(link, *x) for x in (("clusters", "cluster_id", "cluster_type", sites, "label", 0.8), ("relations", "relation_id", "relation_type", ends, "metadata", 1.0))]
-        return [x.result() for x in both]
+        clusters = pool.submit(run, "clusters", "cluster_id", "cluster_type", sites, "label", None, 0.8)
+        relations = pool.submit(run, "relations", "relation_id", "relation_type", ends, None, "value", 1.0)
+        return [clusters.result(), relations.result()]
+
+
+def _cases(spark: SparkSession, d: str) -> DataFrame:
+    (clusters, _), (relations, _) = _linked(spark, d)
+    return clusters.unionByName(relations).withColumn("batch_no", F.col("batch_no").cast("int")).withColumnRenamed("item", "item_id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    (clusters, _), (relations, _) = _links(spark, d)
-    cases = clusters.unionByName(relations)
-    return cases.select(F.col("batch_no").cast("int").alias("batch_no"), F.col("item").alias("item_id")).distinct()
+    return _cases(spark, d).select("batch_no", "item_id").distinct()
+
+
+def p4_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Each known item with the record that it matches best, their similarity and the learned score."""
+    return _cases(spark, d).withColumns({"similarity": F.round("similarity", 6), "score": F.round("score", 6)})
 
 
 def p4_representatives(spark: SparkSession, d: str) -> DataFrame:
-    """The touched records with the one that stands for all records linked to them."""
-    (_, clusters), (_, relations) = _links(spark, d)
-    return linkage.representatives(clusters.unionByName(relations))
+    """The touched records with the one that stands for all records linked to them, as stored after the last batch."""
+    (_, clusters), (_, relations) = _linked(spark, d, unite=True)
+    return clusters.representatives().unionByName(relations.representatives()).distinct()
 
 
 #: The kind of entry that the label of a cluster names.
@@ -153,7 +164,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found, "p2_class_pairs": p2_class_pairs, "p2_membership": p2_membership,
     "p3_found": p3_found, "p3_groups": p3_groups,
-    "p4_found": p4_found, "p4_representatives": p4_representatives,
+    "p4_found": p4_found, "p4_matches": p4_matches, "p4_representatives": p4_representatives,
     "p5_found": p5_found, "p5_values": p5_values,
     "p6_found": p6_found, "p6_near": p6_near,
     "p8_found": p8_found, "p8_statistics": p8_statistics,
@@ -171,22 +182,39 @@ each AS (SELECT id, len(s) n, unnest(s) t FROM ws WHERE len(s) >= 12),
 links AS (SELECT a.id x, b.id y FROM each a JOIN each b ON a.t = b.t AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*)::double / (a.n + b.n - count(*)) >= 0.6 - 1e-9)"""
 
 
-def _sql_batches() -> str:
-    """The six batches one after the other: cases of each against the history and what earlier ones added."""
+def _sql_batches(representatives: bool = False) -> str:
+    """The six batches one after the other: cases of each against the history and what earlier ones added.
+
+    With ``representatives``, the least record of all that are linked, of each record that is.
+    """
     key = lambda column: _KEY.replace("regexp_replace(x", f"regexp_replace({column}")
     members = f"list_sort(list_distinct(list_filter(list_transform(coalesce(member_uris, []), lambda x: {_KEY}), lambda x: x IS NOT NULL)))"
     ends = f"list_sort(list_distinct([{key('source_uri')}, {key('target_uri')}]))"
-    both = lambda table, more="": f"SELECT DISTINCT {more}cluster_id id, 'c' part, cluster_type kind, {members} s, confidence FROM {table}_clusters UNION ALL SELECT DISTINCT {more}relation_id, 'r', relation_type, {ends}, confidence FROM {table}_relations"
-    parts = [f"hist AS ({both('history')})", f"bat AS ({both('batch', 'batch_no, ')})", "known0 AS (SELECT DISTINCT part, kind, s FROM hist WHERE confidence >= 0.70 AND len(s) > 0)"]
+
+    def both(table: str, more: str = "") -> str:
+        clusters = f"SELECT DISTINCT {more}cluster_id id, 'c' part, cluster_type kind, {members} s, confidence FROM {table}_clusters"
+        return f"{clusters} UNION ALL SELECT DISTINCT {more}relation_id, 'r', relation_type, {ends}, confidence FROM {table}_relations"
+
+    parts = [
+        f"hist AS ({both('history')})", f"bat AS ({both('batch', 'batch_no, ')})",
+        "named0 AS (SELECT DISTINCT part, kind, s, id FROM hist WHERE confidence >= 0.70 AND len(s) > 0)", "known0 AS (SELECT DISTINCT part, kind, s FROM named0)",
+    ]
     for b in range(1, 7):
         parts += [
             f"own{b} AS (SELECT * FROM bat WHERE batch_no = {b} AND len(s) > 0)",
-            f"eq{b} AS (SELECT o.id, o.part FROM own{b} o JOIN known{b - 1} k ON k.part = o.part AND k.kind = o.kind AND k.s = o.s)",
-            f"met{b} AS (SELECT id, n, m, k, count(*) shared FROM (SELECT id, kind, len(s) n, unnest(s) t FROM own{b} WHERE part = 'c') o JOIN (SELECT kind, s k, len(s) m, unnest(s) t FROM known{b - 1} WHERE part = 'c') USING (kind, t) GROUP BY 1, 2, 3, 4)",
-            f"case{b} AS (SELECT id, part FROM eq{b} UNION SELECT id, 'c' FROM met{b} WHERE shared::double / (n + m - shared) >= 0.8 - 1e-9)",
-            f"known{b} AS (SELECT * FROM known{b - 1} UNION SELECT part, kind, s FROM own{b} o WHERE confidence >= 0.70 AND NOT EXISTS (SELECT 1 FROM case{b} c WHERE c.id = o.id AND c.part = o.part))",
+            f"eq{b} AS (SELECT o.id, o.part, o.kind, k.s FROM own{b} o JOIN known{b - 1} k ON k.part = o.part AND k.kind = o.kind AND k.s = o.s)",
+            f"met{b} AS (SELECT id, kind, n, m, k, count(*) shared FROM (SELECT id, kind, len(s) n, unnest(s) t FROM own{b} WHERE part = 'c') o "
+            f"JOIN (SELECT kind, s k, len(s) m, unnest(s) t FROM known{b - 1} WHERE part = 'c') USING (kind, t) GROUP BY 1, 2, 3, 4, 5)",
+            f"case{b} AS (SELECT id, part, kind, s FROM eq{b} UNION SELECT id, 'c', kind, k FROM met{b} WHERE shared::double / (n + m - shared) >= 0.8 - 1e-9)",
+            f"new{b} AS (SELECT part, kind, s, id FROM own{b} o WHERE confidence >= 0.70 AND NOT EXISTS (SELECT 1 FROM case{b} c WHERE c.id = o.id AND c.part = o.part))",
+            f"named{b} AS (SELECT * FROM named{b - 1} UNION SELECT * FROM new{b})", f"known{b} AS (SELECT DISTINCT part, kind, s FROM named{b})",
+            f"link{b} AS (SELECT c.id x, k.id y FROM case{b} c JOIN named{b - 1} k USING (part, kind, s))",
         ]
-    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT {b}::int batch_no, id item_id FROM case{b}" for b in range(1, 7))
+    if not representatives:
+        return f"WITH {', '.join(parts)} " + " UNION ".join(f"SELECT {b}::int batch_no, id item_id FROM case{b}" for b in range(1, 7))
+    links = " UNION ".join(f"SELECT x, y FROM link{b} UNION SELECT y, x FROM link{b}" for b in range(1, 7))
+    reach = "reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)"
+    return f"WITH RECURSIVE {', '.join(parts)}, links AS ({links}), {reach} SELECT x item, least(x, min(y)) representative FROM reach GROUP BY x"
 
 
 #: strip_accents stands for NFKD, which DuckDB lacks; the test tables hold no other compatibility forms.
@@ -202,5 +230,6 @@ SQL: dict[str, str] = {
     "p2_membership": f"WITH {_CLASSES}, ln AS (SELECT rep, count(*) links FROM (SELECT rep_a rep FROM met WHERE {_ALIKE} UNION ALL SELECT rep_b FROM met WHERE {_ALIKE}) GROUP BY 1) SELECT id, rep class_id, coalesce(links, 0) links FROM full_sets JOIN cls USING (s) LEFT JOIN ln USING (rep)",
     "p3_found": f"WITH RECURSIVE {_WORDS}, reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y) SELECT min(y) group_identifier, x identifier FROM (SELECT x, y FROM reach UNION SELECT x, x FROM links) GROUP BY x",
     "p4_found": _sql_batches(),
+    "p4_representatives": _sql_batches(representatives=True),
     "p6_found": _LEAKS,
 }
