@@ -1,10 +1,12 @@
 """Evaluation texts that leak into training text.
 
-Items and documents are compared by windows of words as long as an item's passage. Each window
-has a SimHash of 64 bits over its words. The fingerprints of the items' windows are indexed by
-their ``radius + 1`` blocks: fingerprints at most ``radius`` bits apart agree in one block at
-least, so that none is missed. Each candidate is then verified by the exact similarity of the
-two windows' weighted shingles of five words.
+Documents are compared with the passages of items by windows of as many words: passages of a
+fixed number of words, and, for near copies, item-sized ones. Each window has a SimHash of 64
+bits over its pairs of neighbouring words. The fingerprints of the items' windows are indexed by four blocks of 16
+bits: fingerprints at most ``radius`` bits apart differ by at most ``radius // 4`` bits in one
+block at least, and a block is looked up with all such changes, so that none is missed. Each
+candidate is then verified by the exact similarity of the two windows' weighted shingles of five
+words.
 
 The corpus is read once for each bounded part of the items' windows and never shuffled; whole
 texts are scanned.
@@ -18,6 +20,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -26,8 +29,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
 
-#: Words of a passage, bits by which fingerprints may differ, words of a shingle.
-PASSAGE, RADIUS, SHINGLE = 12, 3, 5
+#: Words of a passage, bits by which fingerprints may differ, the same for near copies, words of a shingle.
+PASSAGE, RADIUS, NEAR_RADIUS, SHINGLE = 12, 3, 7, 5
+#: Blocks of a fingerprint.
+_BLOCKS = 4
+#: Item-sized windows have the largest of these sizes that fits into the item; each is a quarter above the last.
+SIZES = [PASSAGE]
+while SIZES[-1] < 200:
+    SIZES.append(SIZES[-1] * 5 // 4)
 #: Windows of items sent to the executors at once (about 150 bytes each).
 MAX_WINDOWS = 200_000
 _CHUNK_WORDS = 150_000
@@ -96,14 +105,29 @@ def simhashes(codes: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(total > size // 2, axis=1).view(np.uint64).ravel()
 
 
+def fingerprints(codes: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of each window over its pairs of neighbouring words; single words are too common to tell windows apart."""
+    if size < 2:
+        return simhashes(codes, size)
+    with np.errstate(over="ignore"):
+        pairs = codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]
+        pairs = (pairs ^ pairs >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        return simhashes(pairs ^ pairs >> np.uint64(32), size - 1)
+
+
 def _windows(codes: np.ndarray, size: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(codes, size)
 
 
-def _shingles(codes: np.ndarray) -> set[int]:
-    """Shingles of a window; a shorter window is one shingle."""
+def _shingles(codes: np.ndarray) -> np.ndarray:
+    """Code of the shingle at each place; less words than a shingle has are one."""
     size = min(SHINGLE, len(codes))
-    return {hash(tuple(s)) for s in _windows(codes, size).tolist()}
+    out = np.zeros(len(codes) - size + 1 if size else 0, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            out = (out + codes[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
 
 
 @dataclass
@@ -118,24 +142,24 @@ class _Index:
 
     @classmethod
     def of(cls, size: int, items: np.ndarray, codes: np.ndarray, radius: int) -> _Index:
-        prints = np.concatenate([simhashes(row, size) for row in codes])
+        prints = np.concatenate([fingerprints(row, size) for row in codes])
+        changes = np.array([sum(1 << b for b in bits) for n in range(radius // _BLOCKS + 1) for bits in combinations(range(16), n)], np.uint64)
         blocks = []
-        edges = np.linspace(0, 64, radius + 2).round().astype(int)
-        for low, high in zip(edges, edges[1:]):
-            shift, mask = np.uint64(low), np.uint64((1 << int(high - low)) - 1)
-            value = (prints >> shift) & mask
+        for k in range(_BLOCKS):
+            shift = np.uint64(16 * k)
+            value = (((prints >> shift) & np.uint64(0xFFFF))[:, None] ^ changes).ravel()
             order = np.argsort(value, kind="stable")
             known = np.zeros(1 << 16, bool)
-            known[(value & np.uint64(0xFFFF)).astype(int)] = True
-            blocks.append((shift, mask, order, value[order], known))
+            known[value.astype(int)] = True
+            blocks.append((shift, order // len(changes), value[order], known))
         return cls(size, items, codes, prints, blocks)
 
     def probe(self, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, indexed window) of all fingerprints at most ``radius`` bits apart."""
         at, with_ = [np.array([], np.int64)], [np.array([], np.int64)]
-        for shift, mask, order, values, known in self.blocks:
-            value = (prints >> shift) & mask
-            some = np.flatnonzero(known[(value & np.uint64(0xFFFF)).astype(np.intp)])
+        for shift, order, values, known in self.blocks:
+            value = (prints >> shift) & np.uint64(0xFFFF)
+            some = np.flatnonzero(known[value.astype(np.intp)])
             value = value[some]
             first, last = np.searchsorted(values, value), np.searchsorted(values, value, "right")
             count = last - first
@@ -150,15 +174,19 @@ class _Index:
         return pairs >> 32, pairs & 0xFFFFFFFF
 
 
-def item_windows(items: DataFrame, key: str, text: str, passage: int = PASSAGE) -> DataFrame:
-    """(item, size, codes, bucket): each window of an item; an item of fewer words is one window."""
+def item_windows(items: DataFrame, key: str, text: str, passage: int = PASSAGE, sized: bool = False) -> DataFrame:
+    """(item, size, codes): each window of ``passage`` words of an item; an item of fewer words is one window.
+
+    With ``sized`` the windows are item-sized instead: of the largest of SIZES that fits, or all
+    of a shorter item.
+    """
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for item, text in zip(batch["item"], batch["text"]):
                 codes = np.array([_codes[w] for w in words_of(text)], np.uint64).view(np.int64)
-                size = min(passage, len(codes))
+                size = max((s for s in SIZES if s <= len(codes)), default=len(codes)) if sized else min(passage, len(codes))
                 if size:
                     rows += [(item, size, w) for w in _windows(codes, size)]
             yield pd.DataFrame(rows, columns=["item", "size", "codes"])
@@ -167,24 +195,42 @@ def item_windows(items: DataFrame, key: str, text: str, passage: int = PASSAGE)
     return rows.mapInPandas(cut_up, "item long, size int, codes array<long>").distinct()
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", min_similarity: float = 1.0, passage: int = PASSAGE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, item_id, similarity, position): documents with a passage of an item.
+def shared_shingles(windows: DataFrame) -> DataFrame:
+    """(shingle, n) of the shingles that windows of ``n`` > 1 items have, over all items."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [_shingles(np.asarray(c, np.int64).view(np.uint64)).view(np.int64) for c in batch["codes"]]
+            rows = pd.DataFrame({"item": np.repeat(batch["item"].to_numpy(), [len(f) for f in found]), "shingle": np.concatenate(found) if found else np.array([], np.int64)})
+            yield rows.drop_duplicates()
+
+    own = windows.select("item", "codes").mapInPandas(each, "item long, shingle long").distinct()
+    return own.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", min_similarity: float = 1.0, passage: int = PASSAGE, radius: int | None = None) -> DataFrame:
+    """(doc_id, item_id, similarity, position): documents with a passage of an item, each pair once.
 
     ``similarity`` is the best of the windows' weighted shingle similarities, ``position`` the
-    first word of the best window. At ``min_similarity`` 1 the windows are equal word by word.
-    Documents and items without words, and null texts, give nothing; repeated rows count once.
+    first word of the best window. At ``min_similarity`` 1 the windows have ``passage`` words and
+    are equal word by word; below, they are item-sized, so that nearly whole items come out.
+    Shingles of several items weigh less (1 / items). Documents and items without words, and null texts, give nothing;
+    repeated rows count once.
     """
-    windows = cut(item_windows(items, item_key, text, passage), "windows")
+    near = min_similarity < 1
+    radius = radius if radius is not None else NEAR_RADIUS if near else RADIUS
+    windows = cut(item_windows(items, item_key, text, passage, near), "windows")
     n = windows.count()
     parts = max(1, -(-n // MAX_WINDOWS))
     of_part = F.pmod(F.xxhash64("item", "codes"), F.lit(parts))
     docs = documents.select(F.col(doc_key).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null")
     schema = "doc long, item long, similarity double, position int"
+    often = cut(shared_shingles(windows), "shingles") if near else None
     found = None
     for part in range(parts):
         rows = windows.where(of_part == part).toPandas()  # MAX_WINDOWS rows or so
-        weights = _weights(rows)
         sizes = [(int(size), g["item"].to_numpy(), np.array(g["codes"].tolist(), np.int64).view(np.uint64)) for size, g in rows.groupby("size")]
+        weights = _weights(sizes, often) if near else {}
         shared = documents.sparkSession.sparkContext.broadcast((sizes, weights))
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -202,19 +248,19 @@ def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
 
         hits = docs.mapInPandas(scan, schema)
         found = hits if found is None else found.unionByName(hits)
+    # a document may come in several rows, an item in several parts
     best = F.max(F.struct("similarity", (-F.col("position")).alias("p"))).alias("b")
-    if parts > 1 or min_similarity < 1:
-        found = found.groupBy("doc", "item").agg(best).select("doc", "item", "b.similarity", (-F.col("b.p")).alias("position"))
+    found = found.groupBy("doc", "item").agg(best).select("doc", "item", "b.similarity", (-F.col("b.p")).alias("position"))
     return found.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key), "similarity", "position")
 
 
-def _weights(rows: pd.DataFrame) -> dict[int, float]:
-    """Weights of shingles: those of many items weigh less."""
-    seen: dict[int, set] = {}
-    for item, codes in zip(rows["item"], rows["codes"]):
-        for s in _shingles(np.asarray(codes, np.int64).view(np.uint64)):
-            seen.setdefault(s, set()).add(item)
-    return {s: 1.0 / len(i) for s, i in seen.items()}
+def _weights(sizes: list, often: DataFrame) -> dict[int, float]:
+    """Weights below 1 of the shingles of some windows (at most MAX_WINDOWS), from all items."""
+    own = np.unique(np.concatenate([_shingles(row) for _, _, codes in sizes for row in codes])) if sizes else np.array([], np.uint64)
+    if not len(own):
+        return {}
+    wanted = often.sparkSession.createDataFrame(pd.DataFrame({"shingle": own.view(np.int64)}))
+    return {r["shingle"] & 0xFFFFFFFFFFFFFFFF: 1.0 / r["n"] for r in often.join(wanted, "shingle").collect()}
 
 
 def _scan(keys: np.ndarray, codes: np.ndarray, of: np.ndarray, indexes: list[_Index], weights: dict, least: float, radius: int) -> Iterator[pd.DataFrame]:
@@ -222,7 +268,7 @@ def _scan(keys: np.ndarray, codes: np.ndarray, of: np.ndarray, indexes: list[_In
     for index in indexes:
         if len(codes) < index.size:
             continue
-        prints = simhashes(codes, index.size)
+        prints = fingerprints(codes, index.size)
         inside = np.flatnonzero(of[: len(prints)] == of[index.size - 1 :])
         at, what = index.probe(prints[inside], radius)
         at = inside[at]
@@ -239,8 +285,12 @@ def _scan(keys: np.ndarray, codes: np.ndarray, of: np.ndarray, indexes: list[_In
         yield hits.drop_duplicates(["doc", "item"])[["doc", "item", "similarity", "position"]]
 
 
-def _similarity(a: np.ndarray, b: np.ndarray, weights: dict) -> float:
-    """Weighted Jaccard similarity of two windows; unknown shingles weigh 1."""
-    a, b = _shingles(a), _shingles(b)
-    weigh = lambda shingles: sum(weights.get(s, 1.0) for s in shingles)
-    return weigh(a & b) / weigh(a | b)
+def _similarity(text: np.ndarray, item: np.ndarray, weights: dict) -> float:
+    """Weighted Jaccard similarity of a window of a text and one of an item.
+
+    Shingles of the text that the item lacks weigh as much as those of the item on average.
+    """
+    a, b = set(_shingles(text).tolist()), set(_shingles(item).tolist())
+    own = {s: weights.get(s, 1.0) for s in b}
+    total = sum(own.values())
+    return sum(own[s] for s in a & b) / (total + len(a - b) * total / len(b))

@@ -129,7 +129,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_near(spark: SparkSession, d: str) -> DataFrame:
-    """Leaks with the windows' weighted shingle similarity at 0.8 or more, and where they are."""
+    """Documents that hold an item nearly whole: item-sized windows of a weighted shingle similarity of 0.8 or more, and where they are."""
     found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), min_similarity=0.8)
     return found.withColumn("similarity", F.round("similarity", 6))
 
