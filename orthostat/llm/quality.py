@@ -1,9 +1,14 @@
 """Per-document text quality statistics, percentiles and robust z-scores by language.
 
 Each statistic of a language is summarised by a mergeable KLL quantile sketch. Sketches of all
-languages merge into one of the corpus. Values become robust z-scores against both, and
-documents in the tails of a distribution are flagged. Both only report: the share of running prose
-of a document alone decides, so that no other document changes what comes out.
+languages, or of several parts of a corpus, merge. They are taken of the documents themselves or
+read from a stored profile of other texts, so that values can be compared over time. Values become
+percentiles and robust z-scores, with a scale for each side of the median, and values in the tails
+of a distribution are flagged.
+
+What is natural prose is not a question of how frequent it is: in a corpus of lists no list lies
+in a tail. The share of running prose has therefore an absolute tail, below one half, that no
+other document moves.
 """
 
 from __future__ import annotations
@@ -22,8 +27,8 @@ from ..session import cut
 STATISTICS = ["word_count", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "prose_share"]
 #: Least scale of a statistic: spreads below it don't make a tail.
 _SCALE = {"word_count": 20.0, "mean_word_length": 0.3, "symbol_ratio": 0.01, "punctuated_lines": 0.1, "common_words": 0.03, "prose_share": 0.05}
-#: Robust z-score from which a value lies in a tail.
-TAIL = 3.5
+#: Robust z-score from which a value lies in a tail, and the share of prose below which one does.
+TAIL, LEAST_PROSE = 3.5, 0.5
 
 _ENDING = re.compile(r"[.!?…][\"'»”’)\]]*[ \t\r]*(?:\n|$)")
 _INNER = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -141,49 +146,62 @@ def text_statistics(documents: DataFrame, common_words: DataFrame, key: str = "d
 
 
 def profiles(statistics: DataFrame, by: str = "lang") -> DataFrame:
-    """(by, statistic, sketch): a KLL sketch of each statistic of each language."""
+    """(by, statistic, sketch): a KLL sketch of each statistic of each language.
+
+    Written to a table, it is a profile that :func:`score` takes later; profiles of several parts
+    are merged there.
+    """
     sketches = statistics.groupBy(by).agg(*(F.call_function("kll_sketch_agg_double", F.col(s)).alias(s) for s in STATISTICS))
     return sketches.unpivot([by], STATISTICS, "statistic", "sketch")
 
 
-def merged(profiles_: DataFrame) -> DataFrame:
-    """(statistic, sketch) over all languages, by merging sketches only."""
-    return profiles_.groupBy("statistic").agg(F.call_function("kll_merge_agg_double", F.col("sketch")).alias("sketch"))
+def merged(profiles_: DataFrame, *by: str) -> DataFrame:
+    """(by..., statistic, sketch) over all other columns, by merging sketches only."""
+    return profiles_.groupBy(*by, "statistic").agg(F.call_function("kll_merge_agg_double", F.col("sketch")).alias("sketch"))
 
 
 def centres(sketches: DataFrame) -> DataFrame:
-    """Median, robust scale (quartile distance / 1.349) and the 99 percentiles of each sketch."""
+    """Median, robust scales below and above it (distance of the quartile / 0.6745) and the 99 percentiles of each sketch."""
     q = lambda p: F.call_function("kll_sketch_get_quantile_double", F.col("sketch"), F.lit(p))
     marks = F.call_function("kll_sketch_get_quantile_double", F.col("sketch"), F.array(*(F.lit(k / 100) for k in range(1, 100))))
-    return sketches.withColumns({"median": q(0.5), "scale": (q(0.75) - q(0.25)) / 1.349, "marks": marks})
+    return sketches.withColumns({"median": q(0.5), "below": (q(0.5) - q(0.25)) / 0.6745, "above": (q(0.75) - q(0.5)) / 0.6745, "marks": marks})
 
 
 def _percentile(marks: Column, value: Column) -> Column:
     return F.size(F.filter(marks, lambda mark: mark <= value)).cast("double")
 
 
-def score(statistics: DataFrame, tail: float = TAIL) -> DataFrame:
+def _z(value: Column, median: Column, below: Column, above: Column, least: float) -> Column:
+    return (value - median) / F.greatest(F.when(value < median, below).otherwise(above), F.lit(least))
+
+
+def score(statistics: DataFrame, tail: float = TAIL, profile: DataFrame | None = None, least_prose: float = LEAST_PROSE) -> DataFrame:
     """The statistics with z_<statistic> (robust, by language), pct_<statistic> (percentile) and ``flags``.
 
-    ``flags`` names the statistics of which the value lies in a tail of its language or of the
-    corpus.
+    ``profile`` (lang, statistic, sketch) has the sketches to compare with, by default those of the
+    documents. Languages that it lacks are compared with all its languages. ``flags`` names the
+    statistics of which the value lies in a tail of its language or of all; ``prose_share`` is
+    flagged below ``least_prose``, in empty texts too, and nowhere else.
     """
-    own = cut(profiles(statistics), "profiles")
-    every = centres(merged(own)).groupBy().pivot("statistic", STATISTICS).agg(F.first("median").alias("m"), F.first("scale").alias("s"))
-    every = every.first().asDict()
-    wide = centres(own).groupBy("lang").pivot("statistic", STATISTICS).agg(F.first("marks").alias("k"), F.first("median").alias("m"), F.first("scale").alias("s"))
+    own = merged(cut(profiles(statistics) if profile is None else profile.select("lang", "statistic", "sketch"), "profiles"), "lang", "statistic")
+    parts = [F.first(c).alias(name) for c, name in (("median", "m"), ("below", "b"), ("above", "a"), ("marks", "k"))]
+    every = centres(merged(own)).groupBy().pivot("statistic", STATISTICS).agg(*parts).first().asDict()  # one row
+    wide = centres(own).groupBy("lang").pivot("statistic", STATISTICS).agg(*parts)
     rows = statistics.join(wide, "lang", "left")
     columns, flags = {}, []
     for s in STATISTICS:
-        z = (F.col(s) - F.col(f"{s}_m")) / F.greatest(F.col(f"{s}_s"), F.lit(_SCALE[s]))
-        whole = (F.col(s) - F.lit(every[f"{s}_m"])) / max(every[f"{s}_s"] or 0.0, _SCALE[s])
+        x = F.col(s)
+        whole = [F.lit(every[f"{s}_{part}"]) for part in ("m", "b", "a")]
+        marks = F.coalesce(F.col(f"{s}_k"), F.array(*map(F.lit, every[f"{s}_k"] or [])))
+        near = [F.coalesce(F.col(f"{s}_{part}"), w) for part, w in zip(("m", "b", "a"), whole)]
+        z = _z(x, *near, _SCALE[s])
         columns[f"z_{s}"] = z
-        columns[f"pct_{s}"] = _percentile(F.col(f"{s}_k"), F.col(s))
-        flags.append(F.when((F.abs(z) >= tail) | (F.abs(whole) >= tail), F.lit(s)))
-    kept = [c for c in statistics.columns]
-    return rows.withColumns(columns).withColumn("flags", F.array_compact(F.array(*flags))).select(*kept, *columns, "flags")
+        columns[f"pct_{s}"] = _percentile(marks, x)
+        absolute = x < least_prose
+        flags.append(F.when(absolute if s == "prose_share" else (F.abs(z) >= tail) | (F.abs(_z(x, *whole, _SCALE[s])) >= tail), F.lit(s)))
+    return rows.withColumns(columns).withColumn("flags", F.array_compact(F.array(*flags))).select(*statistics.columns, *columns, "flags")
 
 
-def junk(scored: DataFrame, least_prose: float = 0.5) -> DataFrame:
-    """Documents of which less than ``least_prose`` is running prose, whether flagged or not; empty texts are among them."""
-    return scored.where(F.col("prose_share") < least_prose)
+def junk(scored: DataFrame) -> DataFrame:
+    """Documents in the absolute tail of running prose; empty texts are among them."""
+    return scored.where(F.array_contains("flags", "prose_share"))

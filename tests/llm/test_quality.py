@@ -36,6 +36,30 @@ def test_junk_that_is_common_is_junk(spark, common, share):
     assert {r["doc_id"] for r in quality.junk(scored(spark, common, rows)).collect()} == {k for k in range(60) if k % share == 0}
 
 
+@pytest.mark.parametrize("percent", [0, 30, 60, 100])
+@pytest.mark.parametrize("langs", [["it"], ["it", "en", None]])
+def test_any_share_of_junk_is_found(spark, common, percent, langs):
+    rows = [(k, LIST if k * 100 < percent * 60 * len(langs) else PROSE * (3 + k % 4), langs[k % len(langs)]) for k in range(60 * len(langs))]
+    want = {k for k, t, _ in rows if t == LIST}
+    assert {r["doc_id"] for r in quality.junk(scored(spark, common, rows)).collect()} == want
+    one = [(k, LIST if lang == "it" else PROSE * 4, lang) for k, _, lang in rows]  # a whole language
+    assert {r["doc_id"] for r in quality.junk(scored(spark, common, one)).collect()} == {k for k, t, _ in one if t == LIST}
+
+
+def test_stored_profiles_merge_and_score_other_texts(spark, common, tmp_path):
+    def statistics(rows):
+        return quality.text_statistics(spark.createDataFrame(rows, "doc_id long, text string, lang string"), common)
+
+    for part in range(2):
+        rows = [(k, PROSE * (3 + k % 7), "it" if k % 3 else "en") for k in range(part * 100, part * 100 + 100)]
+        quality.profiles(statistics(rows)).write.mode("append").parquet(f"file://{tmp_path}/profile")
+    stored = spark.read.parquet(f"file://{tmp_path}/profile")
+    fresh = [(1, "#@! a " * 60, "it"), (2, "#@! a " * 60, "de"), (3, PROSE * 5, "it")] + [(k, "#@! a " * 60, "it") for k in range(10, 60)]
+    got = {r["doc_id"]: r for r in quality.score(statistics(fresh), profile=stored).collect()}
+    assert "symbol_ratio" in got[1]["flags"] and "symbol_ratio" in got[2]["flags"] and got[3]["flags"] == []
+    assert got[1]["z_symbol_ratio"] == got[2]["z_symbol_ratio"] and got[1]["pct_symbol_ratio"] == 99
+
+
 def test_half_prose_of_a_mixed_corpus_is_junk(spark, common):
     mixed = LIST[:600] + "\n" + PROSE * 4
     rows = [(k, PROSE * 4 if k % 3 else LIST, "it") for k in range(60)] + [(100, mixed, "it")]
