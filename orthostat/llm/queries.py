@@ -53,10 +53,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.join(first, ["leaf", "unit"]).select("group_identifier", F.col("id").alias("identifier"))
 
 
+def _described(spark: SparkSession, d: str, *by: str) -> DataFrame:
+    words = _site_words(spark, d)
+    return bisect.describe_leaves(bisect.similarity_groups(words, "identifier", "words"), words, "identifier", "words", by=by)
+
+
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each group of p3_found, and each site alone, with its leaf, size, dispersion and most typical sites."""
+    return _described(spark, d, "leaf", "unit").drop("unit")
+
+
+def p3_leaves(spark: SparkSession, d: str) -> DataFrame:
     """Each leaf with its size, its dispersion and its most typical sites."""
-    words = _site_words(spark, d)
-    return bisect.describe_leaves(bisect.similarity_groups(words, "identifier", "words"), words, "identifier", "words")
+    return _described(spark, d, "leaf")
 
 
 def _linked(spark: SparkSession, d: str, unite: bool = False) -> list[tuple[DataFrame, linkage.KnownRecords]]:
@@ -147,6 +156,17 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached(*_mix(spark, d))
 
 
+def p7_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Each target source with its target and planned share, whether its tokens meet the plan to one document, and its cap kept."""
+    used, plan = _mix(spark, d)
+    total = float(plan["tokens"].sum()) or 1.0
+    planned = spark.createDataFrame([(r.source, float(r.tokens), float(r.tokens) / total) for r in plan.itertuples()], "source string, planned double, goal double")
+    most = used.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    rows = mixing.reached(used, plan).join(planned, "source").join(most, "source", "left")
+    met = F.abs(F.col("tokens") - F.col("planned")) <= F.coalesce("largest", F.lit(0))
+    return rows.select("source", F.round("target_share", 6).alias("target_share"), F.round("goal", 6).alias("goal"), met.alias("met"), (F.col("most_uses") <= F.col("max_repeats")).alias("within_cap"))
+
+
 def _quality(spark: SparkSession, d: str) -> DataFrame:
     statistics = quality.text_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
     return quality.score(cut(statistics, "statistics"))
@@ -169,12 +189,12 @@ def p8_plain(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_class_pairs": p2_class_pairs, "p2_membership": p2_membership,
-    "p3_found": p3_found, "p3_groups": p3_groups,
+    "p3_found": p3_found, "p3_groups": p3_groups, "p3_leaves": p3_leaves,
     "p4_found": p4_found, "p4_matches": p4_matches, "p4_representatives": p4_representatives,
     "p5_found": p5_found, "p5_values": p5_values,
     "p6_found": p6_found, "p6_near": p6_near,
     "p8_found": p8_found, "p8_statistics": p8_statistics, "p8_plain": p8_plain,
-    "p7_mix": p7_mix, "p7_shares": p7_shares,
+    "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_bounds": p7_bounds,
 }
 _KEY = "nullif(lower(trim(regexp_extract(regexp_replace(x, '[\\s/]+$', ''), '[^/]*$'))), '')"
 _SETS = f"""sets AS (SELECT DISTINCT id, list_sort(list_distinct(list_filter(list_transform(l, lambda x: {_KEY}), lambda x: x IS NOT NULL))) s FROM (SELECT cluster_id id, member_uris l FROM history_clusters UNION ALL SELECT path_id, stop_uris FROM history_paths) WHERE l IS NOT NULL),
@@ -255,6 +275,8 @@ CASE WHEN words > 0 THEN round(common / words, 6) ELSE 0.0 END common_words FROM
 
 
 SQL: dict[str, str] = {
+    "p7_bounds": """WITH t AS (SELECT lower(trim(source)) source, target_share, lower(trim(source)) IN (SELECT lower(trim(source)) FROM documents) has FROM mix_targets WHERE source IS NOT NULL)
+SELECT source, round(target_share, 6) target_share, round(CASE WHEN has THEN target_share / (SELECT sum(target_share) FROM t WHERE has) ELSE 0.0 END, 6) goal, true met, true within_cap FROM t""",
     "p8_plain": _sql_statistics(),
     "p2_found": f"WITH {_SETS}, each AS (SELECT id, len(s) n, unnest(s) t FROM full_sets), met AS (SELECT a.id id_a, b.id id_b, a.n, b.n m, count(*) shared FROM each a JOIN each b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2, 3, 4) SELECT DISTINCT id_a, id_b FROM met WHERE {_ALIKE}",
     "p2_class_pairs": f"WITH {_CLASSES} SELECT rep_a, rep_b, shared::int overlap, round(shared::double / (n + m - shared), 6) similarity FROM met WHERE {_ALIKE}",

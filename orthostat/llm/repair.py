@@ -7,13 +7,17 @@ token near its place (an equi-join, so that no token meets the whole vocabulary)
 that share a repaired token with a value are ranked by soft TF-IDF over the repaired tokens;
 glued, cut off and turned values are compared as strings. Values that reach no entry, or two
 different ones equally, are reported as unmatched.
+
+Which words wrap or qualify values without changing what they mean is learned from all values: a
+word that stands beside many different entries, in values that name an entry word by word, says
+nothing of which one is meant.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from math import log
 
@@ -27,25 +31,10 @@ LEAST_SCORE, LEAST_LEAD = 0.74, 0.015
 #: Keys of the vocabulary (about 100 bytes each) up to which it is broadcast.
 BROADCAST_KEYS = 200_000
 
-# The words that stored labels wrap around a value, by place.
-WRAPPERS = [
-    r"^\s*(?:geographic|chronological|typological)\s+cluster\s*-\s*",
-    r"^\s*(?:geo\s+cluster\s*:|gruppo\s+geografico\s+di\b|period\s+cluster\s*/|fase\s*:|type\s*:|tipologia\b)\s*",
-    r"\s*\(\s*group\s+\d+\s*\)\s*$",
-    r"\s*\barea,\s*sites\s+nearby\s*$",
-    r"\s+(?:sites|monuments)\s*$",
-]
-# Words that qualify a value without changing its meaning, in both languages.
-QUALIFIERS = (
-    "ca circa cf cfr prob probabile probabilmente possibile possible cosiddetto cosiddetta tipo traces trace of resti di "
-    "grande piccolo piccola small large fallen lesionata lesionato rotto rotta in granito granite local stone ovest est nord sud west east "
-    "north south sic esemplari esemplare h m n x"
-).split()
-# The same as phrases, as they stand at the ends of a value written without blanks.
-_GLUED_QUALIFIERS = (
-    r"^(?:cfr?|prob|possibile|cosiddett[oa]|tipo|tracesof|restidi|grande|small)|"
-    r"(?:ca|cfr|prob|ovest|fallen|lesionata|ingranito|oflocalstone|sic|x[\dolesa]{1,2}|n[\dolesa]{1,2}|hm[\dolesa]{2,4}|[\dolesa]{1,2}esemplari)$"
-)
+#: What it costs to cut words off at the ends of a value without blanks.
+STRIPPED = 0.1
+#: A word wraps values of a kind if it stands beside so many of the kind's entries, and this share of them.
+WRAPPING_ENTRIES, WRAPPING_SHARE = 3, 0.15
 # Digits that stand for letters in damaged text.
 _LOOKS = str.maketrans("01345", "oleas")
 #: A mark of a word that was cut off.
@@ -91,15 +80,6 @@ def tokens_of(text: str) -> list[str]:
     return [t.translate(_LOOKS) if sum(c.isalpha() for c in t) > 1 else t for t in found]
 
 
-def core_of(value: str) -> tuple[str, list[str]]:
-    """The value without wrapping words as (text, tokens)."""
-    text = normal(value)
-    for pattern in WRAPPERS:
-        bare = re.sub(pattern, "", text)
-        text = bare if re.search(r"[^\W_]", bare) else text
-    return text.strip(), tokens_of(text)
-
-
 def _segments(word: str) -> list[tuple[int, int, str]]:
     """(part, start, text) of a vocabulary string: allowed edits + 1 even segments."""
     k = allowed_edits(len(word))
@@ -128,27 +108,65 @@ def _vocabulary(form: str) -> set[str]:
     return {w for w in words if len(w) > 2 and w not in _STOP} | {"".join(words)}
 
 
-def _bare(glued: str) -> str:
-    """A value without blanks, without the qualifying phrases at its ends."""
-    while True:
-        shorter = re.sub(_GLUED_QUALIFIERS, "", glued)
-        if shorter == glued or len(shorter) < 4:
-            return glued
-        glued = shorter
-
-
-def _glued(text: str, words: list[str]) -> list[str]:
-    """The value without blanks: as typed, without qualifiers, and with a turned order undone."""
-    out = ["".join(words), "".join(w for w in words if w not in QUALIFIERS and not w.isdigit())]
-    if "," in text:
-        head, tail = text.split(",", 1)
-        turned = tokens_of(tail) + tokens_of(head)
-        out += ["".join(turned), "".join(w for w in turned if w not in QUALIFIERS and not w.isdigit())]
-    return list(dict.fromkeys(w for g in out for w in (g, _bare(g)) if w))
-
-
-def similarity(text: str, words: list[str], form: str, weights: dict[str, float]) -> float:
-    """How well a value means a form, from 0 to 1."""
+class Wrapping:
+    """The words of one kind that wrap values, and what is left of values without them."""
+
+    def __init__(self, words: Iterable[str] = (), named: Iterable[str] = ()):
+        self.words = frozenset(words)
+        #: those that no entry's forms have
+        self.foreign = self.words - frozenset(named)
+        self._by_length: dict[int, list[str]] = {}
+        for w in self.words:
+            self._by_length.setdefault(len(w), []).append(w)
+        self._ends = sorted({w.rstrip("0123456789") for w in self.words} - {""}, key=lambda w: (-len(w), w))
+        self._known: dict[str, bool] = {}
+
+    def __contains__(self, word: str) -> bool:
+        """Whether the word, perhaps with some edits, is one of them."""
+        known = self._known.get(word)
+        if known is None:
+            if len(self._known) > 100_000:
+                self._known.clear()
+            near = (q for n in range(len(word) - 3, len(word) + 4) for q in self._by_length.get(n, ()))
+            known = self._known[word] = word in self.words or any(edit_distance(word, q) <= allowed_edits(len(q)) for q in near)
+        return known
+
+    def _ending(self, glued: str) -> str:
+        """One number or wrapping word less at the end."""
+        shorter = glued.rstrip("0123456789")
+        return shorter if shorter != glued else next((glued[: -len(w)] for w in self._ends if glued.endswith(w)), glued)
+
+    def _start(self, glued: str) -> str:
+        return next((glued[len(w) :] for w in self._ends if len(w) > 1 and glued.startswith(w)), glued)
+
+    def bare(self, glued: str) -> list[str]:
+        """A value without blanks, cut shorter by such words and by numbers at its ends, step by step."""
+
+        def chain(text: str, step) -> list[str]:
+            out = [text]
+            while len(shorter := step(out[-1])) >= 4 and shorter != out[-1]:
+                out.append(shorter)
+            return out
+
+        return [shorter for first in chain(glued, self._start) for shorter in chain(first, self._ending)]
+
+    def glued(self, text: str, words: list[str]) -> dict[str, float]:
+        """The value without blanks, with what the form costs: as typed, without wrapping words, and with a turned order undone."""
+        orders = [words]
+        if "," in text:
+            head, tail = text.split(",", 1)
+            orders.append(tokens_of(tail) + tokens_of(head))
+        whole = ["".join(w for w in order if w not in drop and (not drop or not w.isdigit())) for order in orders for drop in ((), self.words, self.foreign)]
+        costs = dict.fromkeys((g for g in whole if g), 0.0)
+        raw = "".join(re.findall(r"[^\W_]+", text))  # digits at the ends are numbers, not letters
+        for g in [*costs, raw]:
+            for shorter in self.bare(g):
+                costs.setdefault(shorter.translate(_LOOKS), STRIPPED)
+        return costs
+
+
+def similarity(text: str, words: list[str], glued_forms: dict[str, float], form: str, weights: dict[str, float], wrapping: Wrapping) -> float:
+    """How well a value, with its words and its forms without blanks, means a form of an entry, from 0 to 1."""
     wanted = tokens_of(normal(form))
     whole = "".join(wanted)
     if not words or not wanted:
@@ -163,29 +181,79 @@ def similarity(text: str, words: list[str], form: str, weights: dict[str, float]
             got += weight * (1 - d / max(len(w), len(best)))
             left.remove(best)
     known = sum(len(w) for w in wanted)
-    extra = sum(len(v) for v in left if len(v) > 2 and not v.isdigit() and not any(edit_distance(v, q) <= allowed_edits(len(q)) for q in QUALIFIERS))
+    extra = sum(len(v) for v in left if len(v) > 2 and not v.isdigit() and v not in wrapping)
     soft = got / total * (known / (known + 0.5 * extra))
     # written without blanks, turned, or cut off
     best = soft
-    for glued in _glued(text, words):
+    for glued, cost in glued_forms.items():
+        if len(glued) > len(whole) + 3:
+            continue
         d = edit_distance(glued, whole)
         if d <= max(allowed_edits(len(whole)), 1):
-            best = max(best, 1 - d / max(len(glued), len(whole)) - 0.005)
+            best = max(best, 1 - d / max(len(glued), len(whole)) - 0.005 - cost)
         if 4 <= len(glued) < len(whole) and (_CUT.search(text) or len(glued) >= 0.5 * len(whole)):
             near = min(edit_distance(glued, whole[:k]) for k in range(max(1, len(glued) - 1), min(len(whole), len(glued) + 1) + 1))
             if near <= (1 if len(glued) >= 6 else 0):
-                best = max(best, 0.92 - 0.08 * near)
+                best = max(best, 0.92 - 0.08 * near - cost)
     return best
 
 
-def match_values(values: DataFrame, terms: DataFrame, least: float = LEAST_SCORE, lead: float = LEAST_LEAD) -> DataFrame:
+def forms_of(terms: DataFrame) -> DataFrame:
+    """(term_id, kind, form): the term and the aliases of each entry."""
+    every = F.concat(F.array("term"), F.coalesce("aliases", F.array().cast("array<string>")))
+    return terms.select("term_id", "kind", F.explode(F.array_distinct(every)).alias("form")).where("form is not null and trim(form) != ''").distinct()
+
+
+def wrapping_words(values: DataFrame, terms: DataFrame, least: int = WRAPPING_ENTRIES, share: float = WRAPPING_SHARE) -> DataFrame:
+    """(kind, token, entries, named): the words that stand beside many entries, from all distinct values (kind, value).
+
+    Counted are values that hold all words of a form of an entry, spelled alike. ``named`` are the
+    words that some entry's form has as well.
+    """
+    schema = "kind string, text string, tokens array<string>"
+
+    def cut_up(column: str):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"kind": batch["kind"], "text": batch[column], "tokens": [list(dict.fromkeys(tokens_of(normal(t)))) for t in batch[column]]})
+
+        return run
+
+    forms = forms_of(terms)
+    named = forms.select("kind", "form").distinct().mapInPandas(cut_up("form"), schema).withColumnRenamed("text", "form").where("size(tokens) > 0")
+    of_form = forms.join(named, ["kind", "form"]).select("kind", "term_id", "form", F.col("tokens").alias("wanted"))
+    rows = values.select("kind", "value").mapInPandas(cut_up("value"), schema)
+    # a form is met at its rarest word only
+    often = of_form.select("kind", "form", F.explode("wanted").alias("token")).distinct()
+    rank = often.join(often.groupBy("kind", "token").agg(F.count("*").alias("n")), ["kind", "token"])
+    rarest = rank.groupBy("kind", "form").agg(F.min(F.struct("n", "token"))["token"].alias("token"))
+    met = rows.select("kind", "tokens", F.explode("tokens").alias("token")).join(of_form.join(rarest, ["kind", "form"]), ["kind", "token"])
+    beside = met.where(F.size(F.array_except("wanted", "tokens")) == 0).select("kind", "term_id", F.explode(F.array_except("tokens", "wanted")).alias("token")).distinct()
+    entries = terms.groupBy("kind").agg(F.countDistinct("term_id").alias("all"))
+    counts = beside.groupBy("kind", "token").agg(F.count("*").alias("entries")).join(entries, "kind")
+    many = counts.where((F.col("entries") >= least) & (F.col("entries") >= share * F.col("all")))
+    names = often.select("kind", "token", F.lit(True).alias("named")).distinct()
+    return many.join(names, ["kind", "token"], "left").select("kind", "token", "entries", F.coalesce("named", F.lit(False)).alias("named"))
+
+
+def match_values(values: DataFrame, terms: DataFrame, least: float = LEAST_SCORE, lead: float = LEAST_LEAD, wrapping: DataFrame | None = None) -> DataFrame:
     """(kind, value, term_id, score): the entry of its kind that each distinct value means, or -1.
 
     ``values`` has (kind, value), ``terms`` (term_id, kind, term, aliases). Null and blank values
-    give no row. Entries of one kind compete; an entry counts with its best form.
+    give no row. Entries of one kind compete; an entry counts with its best form. ``wrapping``
+    (kind, token, named) has the words that say nothing, by default those of :func:`wrapping_words`.
     """
-    forms = terms.select("term_id", "kind", F.explode(F.array_distinct(F.concat(F.array("term"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("form")).where("form is not null and trim(form) != ''").distinct()
+    forms = forms_of(terms)
     distinct = cut(values.select("kind", "value").where("kind is not null and value is not null and trim(value) != ''").distinct(), "values")
+    wraps: dict[str, tuple[set[str], set[str]]] = {}
+    # at most 1 / WRAPPING_SHARE of the words beside an entry on average
+    for r in (wrapping_words(distinct, terms) if wrapping is None else wrapping).select("kind", "token", "named").collect():
+        words, named = wraps.setdefault(r["kind"], (set(), set()))
+        words.add(r["token"])
+        if r["named"]:
+            named.add(r["token"])
+
+    longest = forms.agg(F.max(F.length("form"))).first()[0] or 0  # longer strings mean no form
 
     def vocabulary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -194,16 +262,21 @@ def match_values(values: DataFrame, terms: DataFrame, least: float = LEAST_SCORE
             yield pd.DataFrame(rows, columns=["kind", "term_id", "form", "word", "key"])
 
     def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = {kind: Wrapping(*words) for kind, words in wraps.items()}
         for batch in batches:
             rows = []
             for kind, value in zip(batch["kind"], batch["value"]):
-                text, words = core_of(value)
-                glued = _glued(text, words)
-                for w in dict.fromkeys(words + glued):
-                    if len(w) > 2 and w not in _STOP:
+                wrapping, text = known.setdefault(kind, Wrapping()), normal(value).strip()
+                words = tokens_of(text)
+                glued = wrapping.glued(text, words)
+                for w in dict.fromkeys([w for w in words if w not in wrapping.words] + list(glued)):
+                    if 2 < len(w) <= longest + 3 and w not in _STOP:
                         rows += [(kind, value, w, key) for key in _probes(w)]
-                for g in glued:
-                    rows += [(kind, value, "", f"cut:{g[a : a + 4]}") for a in (0, 1) if len(g) >= 4]
+                starts = dict.fromkeys(g[a : a + 4] for g in glued for a in (0, 1) if len(g) >= 4)
+                rows += [(kind, value, "", f"cut:{start}") for start in starts]
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=["kind", "value", "token", "key"])
+                    rows = []
             yield pd.DataFrame(rows, columns=["kind", "value", "token", "key"])
 
     # few bytes, but much work for each row: spread it evenly, whatever the size of the tables
@@ -221,12 +294,20 @@ def match_values(values: DataFrame, terms: DataFrame, least: float = LEAST_SCORE
     weights = forms.select("kind", "form", F.explode(words).alias("w")).distinct().join(often, ["kind", "w"]).groupBy("kind", "form").agg(F.collect_list(F.struct("w", "df")).alias("df"))
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cores = lru_cache(maxsize=10_000)(core_of)
+        known = {kind: Wrapping(*words) for kind, words in wraps.items()}
+
+        @lru_cache(maxsize=10_000)
+        def parts(kind: str, value: str) -> tuple[str, list[str], dict[str, float]]:
+            text = normal(value).strip()
+            words = tokens_of(text)
+            return text, words, known.setdefault(kind, Wrapping()).glued(text, words)
+
         for batch in batches:
             scores = []
             for kind, value, form, df in zip(batch["kind"], batch["value"], batch["form"], batch["df"]):
                 n = entries[kind]
-                scores.append(similarity(*cores(value), form, {normal(r["w"]): log(1 + n / r["df"]) for r in df}))
+                weights = {normal(r["w"]): log(1 + n / r["df"]) for r in df}
+                scores.append(similarity(*parts(kind, value), form, weights, known.setdefault(kind, Wrapping())))
             yield batch[["kind", "value", "term_id"]].assign(score=scores)
 
     ranked = pairs.join(weights, ["kind", "form"]).repartition(spread, "kind", "value").mapInPandas(rank, "kind string, value string, term_id long, score double")
