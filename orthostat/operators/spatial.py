@@ -184,68 +184,116 @@ def parse_polygons(wkt: str | None) -> list[list[np.ndarray]]:
     return polygons
 
 
-def _inside(x: np.ndarray, y: np.ndarray, polygons: list[list[np.ndarray]]) -> np.ndarray:
-    """Even-odd rule in the plane, each polygon for itself; holes are outside."""
-    found = np.zeros(len(x), bool)
-    for rings in polygons:
-        odd = np.zeros(len(x), bool)
-        for ring in rings:
-            x1, y1 = ring[:, 0], ring[:, 1]
-            x2, y2 = np.roll(x1, -1), np.roll(y1, -1)
-            for k in np.flatnonzero(y1 != y2):
-                crosses = (y1[k] > y) != (y2[k] > y)
-                odd ^= crosses & (x < (x2[k] - x1[k]) * (y - y1[k]) / (y2[k] - y1[k]) + x1[k])
-        found |= odd
-    return found
+def region_edges(regions: DataFrame, region_key: str, wkt: str) -> DataFrame:
+    """(region, part, x1, y1, x2, y2, x0): the edges of each polygon that aren't level, with its least longitude.
+
+    ``part`` names one polygon of one shape; its rings, holes too, count alike. Null, empty and
+    unreadable shapes have no edges.
+    """
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["region", "part", "x1", "y1", "x2", "y2", "x0"]
+        for batch in batches:
+            found, size = [], 0
+            for name, text, shape in zip(batch["region"], batch["wkt"], batch["shape"]):
+                for k, rings in enumerate(parse_polygons(text)):
+                    ends = np.concatenate([np.hstack([ring, np.roll(ring, -1, axis=0)]) for ring in rings])
+                    ends = ends[ends[:, 1] != ends[:, 3]]
+                    rows = pd.DataFrame(ends, columns=["x1", "y1", "x2", "y2"])
+                    found.append(rows.assign(region=name, part=f"{shape}:{k}", x0=min(ring[:, 0].min() for ring in rings)))
+                    size += len(rows)
+                    if size > 100_000:
+                        yield pd.concat(found)[columns]
+                        found, size = [], 0
+            if found:
+                yield pd.concat(found)[columns]
+
+    shapes = regions.select(F.col(region_key).cast("string").alias("region"), F.col(wkt).alias("wkt")).where(F.col("region").isNotNull() & F.col("wkt").isNotNull()).distinct()
+    rows = shapes.withColumn("shape", F.md5(F.concat_ws("\u0001", "region", "wkt")))
+    return rows.mapInPandas(parse, "region string, part string, x1 double, y1 double, x2 double, y2 double, x0 double")
+
+
+class _Polygon:
+    """The points of a cell that one polygon may contain, and on which side of its edges they have come to lie."""
+
+    def __init__(self, part: str, region: str, x0: float, xs: np.ndarray, ys: np.ndarray):
+        self.part, self.region = part, region
+        at = np.arange(np.searchsorted(xs, x0), len(xs))
+        self.at = at[np.argsort(ys[at], kind="stable")]
+        self.xs, self.ys = xs[self.at], ys[self.at]
+        self.odd = np.zeros(len(self.at), np.int64)
+
+    def cross(self, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> None:
+        """Count the edges to the right of each point at its height."""
+        first, last = np.searchsorted(self.ys, np.minimum(y1, y2)), np.searchsorted(self.ys, np.maximum(y1, y2))
+        count = last - first
+        ends = np.cumsum(count)
+        begin = 0
+        while begin < len(count):
+            done = ends[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, done + _BLOCK, "right")))
+            c = count[begin:stop]
+            edge = np.repeat(np.arange(begin, stop), c)
+            point = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[begin:stop], c)
+            right = self.xs[point] < (x2[edge] - x1[edge]) * (self.ys[point] - y1[edge]) / (y2[edge] - y1[edge]) + x1[edge]
+            self.odd += np.bincount(point[right], minlength=len(self.odd))
+            begin = stop
+
+    def inside(self, reps: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"rep": reps[self.at[self.odd % 2 == 1]], "region": self.region})
 
 
 def points_in_regions(places: DataFrame, regions: DataFrame, region_key: str, wkt: str, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(rep, region) for each place and each region that contains it, planar in degrees.
 
     ``places`` as of :func:`locations`. Null, empty and unreadable shapes contain nothing;
-    several rows of one region count once. A region is copied to the strips that it crosses;
-    the strips are as high as the regions are on average.
+    several rows of one region count once. Strips are as high as the regions are on average. Not
+    regions but their edges are copied, to the strips that an edge crosses and there to the cells
+    from the polygon's western end to the edge; each cell holds its points, sorted by longitude,
+    while the edges stream by, polygon by polygon. By the even-odd rule holes are outside.
     """
-
-    def boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for name, text in zip(batch["region"], batch["wkt"]):
-                corners = [c for rings in parse_polygons(text) for c in rings]
-                if corners:
-                    c = np.concatenate(corners)
-                    rows.append((name, text, *c.min(axis=0), *c.max(axis=0)))
-            yield pd.DataFrame(rows, columns=["region", "wkt", "x0", "y0", "x1", "y1"])
-
-    shapes = regions.select(F.col(region_key).cast("string").alias("region"), F.col(wkt).alias("wkt")).where(F.col("region").isNotNull() & F.col("wkt").isNotNull()).distinct()
-    shapes = cut(shapes.mapInPandas(boxes, "region string, wkt string, x0 double, y0 double, x1 double, y1 double"), "shapes")
-    height = max(shapes.agg(F.avg(F.col("y1") - F.col("y0"))).first()[0] or 1.0, 1e-4)
+    edges = cut(region_edges(regions, region_key, wkt), "edges")
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    height = max(edges.groupBy("part").agg((F.max(high) - F.min(low)).alias("h")).agg(F.avg("h")).first()[0] or 1.0, 1e-4)
     strip = lambda y: F.floor(y / height).cast("int")
     points = places.select(strip(F.col("lat")).alias("strip"), F.col("lon").alias("x"), F.col("lat").alias("y"), "rep")
     bounds = _dense_bounds(points, cell_rows)
-    points = _with_bounds(points, bounds).select("strip", _segment(F.col("bounds"), F.col("x")).alias("seg"), "x", F.lit(1).alias("kind"), "y", "rep", F.lit(None).cast("string").alias("wkt"), F.lit(None).cast("double").alias("x1"))
-    areas = _with_bounds(shapes.withColumn("strip", F.explode(F.sequence(strip(F.col("y0")), strip(F.col("y1"))))), bounds)
-    areas = areas.withColumn("seg", F.explode(F.sequence(_segment(F.col("bounds"), F.col("x0")), _segment(F.col("bounds"), F.col("x1")))))
-    areas = areas.select("strip", "seg", F.col("x0").alias("x"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("y"), F.col("region").alias("rep"), "wkt", "x1")
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    points = _with_bounds(points, bounds).select("strip", _segment(F.col("bounds"), F.col("x")).alias("seg"), F.lit(0).alias("kind"), text.alias("part"), "rep", "x", "y", none.alias("x2"), none.alias("y2"), none.alias("x0"))
+    sides = edges.withColumn("strip", F.explode(F.sequence(strip(low), strip(high))))
+    # strips without points need no edges
+    sides = _with_bounds(sides.join(points.select("strip").distinct(), "strip", "left_semi"), bounds)
+    sides = sides.withColumn("seg", F.explode(F.sequence(_segment(F.col("bounds"), F.col("x0")), _segment(F.col("bounds"), F.greatest("x1", "x2")))))
+    sides = sides.select("strip", "seg", F.lit(1).alias("kind"), "part", F.col("region").alias("rep"), F.col("x1").alias("x"), F.col("y1").alias("y"), "x2", "y2", "x0")
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell, active = None, []
+        cell, held, polygon = None, [], None
+        xs = ys = reps = np.array([])
         for batch in batches:
             for now, rows in batch.groupby(["strip", "seg"], sort=False):
-                active = [a for a in active if a[1] >= rows["x"].iloc[0]] if now == cell else []
-                cell = now
+                if now != cell:
+                    if polygon is not None:
+                        yield polygon.inside(reps)
+                    cell, held, polygon, xs = now, [], None, None
                 new = rows[rows["kind"] == 0]
-                active += [(x, x1, name, parse_polygons(text)) for x, x1, name, text in zip(new["x"], new["x1"], new["rep"], new["wkt"])]
-                points = rows[rows["kind"] == 1]
-                xs, ys, reps = points["x"].to_numpy(), points["y"].to_numpy(), points["rep"].to_numpy()
-                for x0, x1, name, polygons in active:
-                    a, b = np.searchsorted(xs, x0), np.searchsorted(xs, x1, "right")
-                    if b > a:
-                        inside = _inside(xs[a:b], ys[a:b], polygons)
-                        if inside.any():
-                            yield pd.DataFrame({"rep": reps[a:b][inside], "region": name})
-
-    return _ranged(points.unionByName(areas), "x", "kind").mapInPandas(sweep, "rep string, region string").distinct()
+                if len(new):
+                    held.append(new[["x", "y", "rep"]])
+                sides = rows[rows["kind"] == 1]
+                if not len(sides) or not held:
+                    continue
+                if xs is None:  # all points of the cell come before its edges
+                    points = pd.concat(held)
+                    xs, ys, reps = points["x"].to_numpy(), points["y"].to_numpy(), points["rep"].to_numpy(dtype=object)
+                for part, own in sides.groupby("part", sort=False):
+                    if polygon is None or polygon.part != part:
+                        if polygon is not None:
+                            yield polygon.inside(reps)
+                        polygon = _Polygon(part, own["rep"].iloc[0], float(own["x0"].iloc[0]), xs, ys)
+                    polygon.cross(*(own[c].to_numpy() for c in ("x", "y", "x2", "y2")))
+        if polygon is not None:
+            yield polygon.inside(reps)
+
+    return _ranged(points.unionByName(sides), "kind", "part", "x").mapInPandas(sweep, "rep string, region string").distinct()
 
 
 def point_of_wkt(wkt: Column) -> tuple[Column, Column]:

@@ -63,6 +63,40 @@ def test_regions_with_holes(spark):
     assert spatial.points_in_regions(places.limit(0), regions, "area_id", "wkt").count() == 0
 
 
+def contains(polygons, x, y):
+    """Even-odd rule, an edge at a time."""
+    for rings in polygons:
+        odd = False
+        for ring in rings:
+            for (x1, y1), (x2, y2) in zip(ring.tolist(), [*ring.tolist()[1:], ring.tolist()[0]]):
+                if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                    odd = not odd
+        if odd:
+            return True
+    return False
+
+
+def test_a_region_of_many_corners_among_small_ones(spark):
+    """A star of 100 000 corners, with a hole, over small squares; places in dense cells, ties and repeated rows."""
+    rng = np.random.default_rng(8)
+    turn = np.linspace(0, 2 * np.pi, 100_000, endpoint=False)
+    reach = 4 + 0.5 * np.sin(40 * turn)
+    ring = lambda x, y: "(" + ", ".join(f"{a:.9f} {b:.9f}" for a, b in zip([*x, x[0]], [*y, y[0]])) + ")"
+    star = "POLYGON (" + ring(5 + reach * np.cos(turn), 5 + reach * np.sin(turn)) + ", (4 4, 6 4, 6 6, 4 6, 4 4))"
+    squares = [(f"s{k}", f"POLYGON (({x} {y}, {x + 0.3} {y}, {x + 0.3} {y + 0.2}, {x} {y + 0.2}, {x} {y}))") for k, (x, y) in enumerate(rng.uniform(0, 10, (60, 2)).round(3))]
+    points = rng.uniform(0, 10, (3000, 2)).round(2)
+    places = spatial.locations(spark.createDataFrame([(f"p{k}", float(y), float(x)) for k, (x, y) in enumerate(points)], "key string, lat double, lon double"))
+    df = spark.createDataFrame([("star", star), ("star", star), *squares], "area_id string, wkt string")
+    got = {(r["rep"], r["region"]) for r in spatial.points_in_regions(places, df, "area_id", "wkt", cell_rows=40).collect()}
+    kept = [(r["rep"], r["lon"], r["lat"]) for r in places.collect()]
+    angle = lambda x, y: 4 + 0.5 * np.sin(40 * np.arctan2(y - 5, x - 5))
+    clear = [(p, x, y) for p, x, y in kept if abs(np.hypot(x - 5, y - 5) - angle(x, y)) > 1e-3 and not (4 <= x <= 6 and 4 <= y <= 6 and min(x - 4, 6 - x, y - 4, 6 - y) == 0)]
+    want = {(p, "star") for p, x, y in clear if np.hypot(x - 5, y - 5) < angle(x, y) and not (4 < x < 6 and 4 < y < 6)}
+    names = {p for p, _, _ in clear}
+    assert {g for g in got if g[1] == "star" and g[0] in names} == want and len(want) > 500
+    assert {g for g in got if g[1] != "star"} == {(p, name) for name, wkt in squares for p, x, y in kept if contains(spatial.parse_polygons(wkt), x, y)}
+
+
 def test_regions_in_small_cells(spark):
     rng = np.random.default_rng(4)
     points = [(f"p{i}", float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(0, 10, (400, 2)))]
@@ -70,7 +104,7 @@ def test_regions_in_small_cells(spark):
     places = spatial.locations(spark.createDataFrame(points, "key string, lat double, lon double"))
     df = spark.createDataFrame(regions, "area_id string, wkt string")
     got = {(r["rep"], r["region"]) for r in spatial.points_in_regions(places, df, "area_id", "wkt", cell_rows=15).collect()}
-    want = {(p, name) for name, wkt in regions for p, lat, lon in points if spatial._inside(np.array([lon]), np.array([lat]), spatial.parse_polygons(wkt))[0]}
+    want = {(p, name) for name, wkt in regions for p, lat, lon in points if contains(spatial.parse_polygons(wkt), lon, lat)}
     assert got == want
 
 
