@@ -45,7 +45,8 @@ def ntriples(triples: DataFrame) -> DataFrame:
 def _blocks(triples: DataFrame, item: Column) -> DataFrame:
     """(s, items): the sorted items of each block of a subject."""
     sizes = triples.groupBy("s").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = triples.join(sizes, "s").withColumn("block", F.pmod(F.hash("p", "o"), F.col("blocks")))
+    digest = F.conv(F.substring(F.md5(F.concat_ws(" ", "p", "o")), 1, 8), 16, 10).cast("long")
+    rows = triples.join(sizes, "s").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(digest, F.col("blocks"))).otherwise(F.lit(0).cast("long")))
     return rows.groupBy("s", "block").agg(F.sort_array(F.collect_list(item)).alias("items"))
 
 

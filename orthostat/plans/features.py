@@ -30,12 +30,12 @@ SELECT category, feature, entity, n, round(greatest(0.30, least(0.95, 0.70 + lea
 
 
 def path_stops(spark: SparkSession, d: str) -> DataFrame:
-    """The stops of the stored paths, long paths cut to five stops."""
+    """The stops of the stored paths, long paths cut to ten stops."""
     rows = table(spark, d, "history_paths").select("path_id", F.transform("stop_uris", uri_key).alias("stops")).groupBy("path_id").agg(F.min("stops").alias("stops"))
-    return features.path_stops(rows, entities(spark, d).select("id", "name"), most=5)
+    return features.path_stops(rows, entities(spark, d).select("id", "name"))
 
 
-_STOPS = f"""WITH {ENTITIES}, p AS (SELECT path_id, min(list_transform(stop_uris, lambda x: {sql_key('x')})) s FROM history_paths GROUP BY 1), c AS (SELECT path_id, CASE WHEN len(s) > 7.5 THEN s[1:5] ELSE s END s FROM p),
+_STOPS = f"""WITH {ENTITIES}, p AS (SELECT path_id, min(list_transform(stop_uris, lambda x: {sql_key('x')})) s FROM history_paths GROUP BY 1), c AS (SELECT path_id, CASE WHEN len(s) > 15 THEN s[1:10] ELSE s END s FROM p),
 r AS (SELECT path_id, unnest(s) member, generate_subscripts(s, 1) i FROM c), o AS (SELECT path_id, member, row_number() OVER (PARTITION BY path_id ORDER BY i) k FROM r WHERE member IS NOT NULL)
 SELECT path_id, 'stop_' || path_id || '_' || k::varchar stop_id, k::int stop_order, member, coalesce(name, member) AS label FROM o LEFT JOIN entities ON id = member"""
 

@@ -187,6 +187,25 @@ def _lacking(classes: list[str], path: str, problem: str) -> str:
 
 _RELS = ["SpatialRelation", "TypologicalRelation", "TemporalRelation"]
 _ESC = "replace(replace(replace(replace(replace(o, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
+_OBJECT = f"CASE WHEN o_kind = 'literal' THEN '\"' || {_ESC} || '\"' || CASE WHEN datatype <> '{XSD}string' THEN '^^<' || datatype || '>' ELSE '' END ELSE '<' || o || '>' END"
+_SUBJECT = "'<' || s || '>'"
+_VERB = f"CASE WHEN p = '{RDF}type' THEN 'a' ELSE '<' || p || '>' END || ' ' || {_OBJECT}"
+_JSON = "CASE WHEN o_kind = 'literal' THEN '{\"@value\":' || to_json(o)::varchar || ',\"@type\":' || to_json(datatype)::varchar || '}' ELSE '{\"@id\":' || to_json(o)::varchar || '}' END"
+
+
+def _xml(text: str) -> str:
+    return f"replace(replace(replace(replace({text}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')"
+
+
+def _blocks(item: str) -> str:
+    """CTEs ending in ``block`` (s, b, items): sorted items of the blocks of a subject."""
+    digest = f"('0x' || substr(md5(p || ' ' || o), 1, 8))::bigint % ceil(count(*) OVER (PARTITION BY s) / {sinks.BLOCK}.0)::bigint"
+    return f"block AS (SELECT s, b, list_sort(list(i)) items FROM (SELECT s, {digest} b, {item} i FROM tri) GROUP BY s, b)"
+
+
+_NAME = "regexp_extract(p, '^(.*[/#])([^/#]+)$', 2)"
+_ELEMENT = f"""'<n:' || {_NAME} || ' xmlns:n="' || {_xml("regexp_extract(p, '^(.*[/#])([^/#]+)$', 1)")} || '"' || CASE WHEN o_kind = 'literal'
+THEN CASE WHEN datatype <> '{XSD}string' THEN ' rdf:datatype="' || datatype || '"' ELSE '' END || '>' || {_xml('o')} || '</n:' || {_NAME} || '>' ELSE ' rdf:resource="' || {_xml('o')} || '"/>' END"""
 SQL = {
     "r2_cluster_triples": f"WITH {_CA} {_CT}",
     "r5_relation_triples": f"WITH {_RA} {_RT}",
@@ -197,5 +216,10 @@ SQL = {
     "v8_consistency": f"WITH {_ALL} " + " UNION ALL ".join([_lacking(["ThematicPath"], "hasStop", "path without stop"), _lacking(["PathStop"], "stopSite", "stop without site"), _lacking(["GeographicCluster", "ChronologicalCluster", "TypologicalCluster"], "includesSite", "cluster without member"), *(_lacking(_RELS, e, f"relation without {e}") for e in ("source", "target"))]),
     "v9_review": f"WITH {_ALL} SELECT s assertion, try_cast(min(o) FILTER (p = '{_O}confidenceScore') AS double) confidence, min(o) FILTER (p = '{_O}generatedBy') generated_by FROM tri GROUP BY s HAVING min(o) FILTER (p = '{_O}hasValidationStatus') = '{_O}PendingReview'",
     "k3_ntriples": f"WITH {_ALL} SELECT '<' || s || '> <' || p || '> ' || CASE WHEN o_kind = 'literal' THEN '\"' || {_ESC} || '\"' || CASE WHEN datatype <> '{XSD}string' THEN '^^<' || datatype || '>' ELSE '' END ELSE '<' || o || '>' END || ' .' AS value FROM tri",
+    "k1_turtle": f"WITH {_ALL}, {_blocks(_VERB)} SELECT {_SUBJECT} || ' ' || array_to_string(items, ' ;' || chr(10) || '    ') || ' .' || chr(10) AS value FROM block",
+    "k2_jsonld": f"""WITH {_ALL}, {_blocks(f"{{'p': p, 'v': {_JSON}}}")},
+by_p AS (SELECT s, b, p, array_to_string(list_transform(list_filter(items, lambda x: x.p = p), lambda x: x.v), ',') vs FROM (SELECT s, b, items, unnest(list_sort(list_distinct(list_transform(items, lambda x: x.p)))) p FROM block))
+SELECT '{{"@id":' || to_json(s)::varchar || ',' || string_agg(to_json(p)::varchar || ':[' || vs || ']', ',' ORDER BY p) || '}}' AS value FROM by_p GROUP BY s, b""",
+    "k4_rdfxml": f"WITH {_ALL}, {_blocks(_ELEMENT)} SELECT '<rdf:Description xmlns:rdf=\"{RDF}\" rdf:about=\"' || {_xml('s')} || '\">' || array_to_string(items, '') || '</rdf:Description>' AS value FROM block",
     "k6_predicates": f"WITH {_ALL} SELECT p, count(*) n FROM tri GROUP BY p ORDER BY n DESC, p LIMIT 20",
 }

@@ -30,7 +30,7 @@ def j9_near_pairs(spark: SparkSession, d: str) -> DataFrame:
 def j9_customer_pairs(spark: SparkSession, d: str) -> DataFrame:
     """J9 at a larger scale: sites laid out from the customers' numbers, many of them at one place."""
     n = F.col("c_custkey")
-    rows = table(spark, d, "customer").where((n % 10 != 9) & (n % 25 != 0)).select(F.format_string("c%09d", n).alias("id"), (37 + (n * 37 % 400) / 100).alias("lat"), (8 + (n * 53 % 600) / 100).alias("lon"))
+    rows = table(spark, d, "customer").select(F.format_string("c%09d", n).alias("id"), (37 + (n * 37 % 400) / 100).alias("lat"), (8 + (n * 53 % 600) / 100).alias("lon"))
     return near_points(rows, NEAR_KM, key="id").withColumn("distance_km", F.round("distance_km", 5))
 
 
@@ -187,7 +187,7 @@ QUERIES = {
 _TEXTS = _FEATURES.split("UNION SELECT id, feature FROM ")[1].split(" WHERE id NOT IN")[0].strip("() \n")
 _SIM = lambda kind, rel, value, conf: f"SELECT '{rel}' relation_type, id source, lead(id) OVER (PARTITION BY {value} ORDER BY load_order) target, {conf}::double confidence FROM entities WHERE {value} <> ''"
 SQL = {
-    "j9_customer_pairs": f"WITH q AS (SELECT printf('c%09d', c_custkey) id, 37 + (c_custkey * 37 % 400) / 100.0::double lat, 8 + (c_custkey * 53 % 600) / 100.0::double lon FROM customer WHERE c_custkey % 10 <> 9 AND c_custkey % 25 <> 0), p AS (SELECT a.id a, b.id b, {sql_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} km FROM q a JOIN q b ON a.id < b.id AND abs(a.lat - b.lat) <= 0.28) SELECT a, b, round(km, 5) distance_km FROM p WHERE km <= {NEAR_KM}",
+    "j9_customer_pairs": f"WITH q AS (SELECT printf('c%09d', c_custkey) id, 37 + (c_custkey * 37 % 400) / 100.0::double lat, 8 + (c_custkey * 53 % 600) / 100.0::double lon FROM customer), p AS (SELECT a.id a, b.id b, {sql_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} km FROM q a JOIN q b ON a.id < b.id AND abs(a.lat - b.lat) <= 0.28) SELECT a, b, round(km, 5) distance_km FROM p WHERE km <= {NEAR_KM}",
     "j9_near_pairs": f"WITH {_J9} SELECT a, b, round(km, 6) distance_km FROM near WHERE km <= {NEAR_KM}",
     "near_sites_scored": f"WITH {_J9}, r AS (SELECT a, b, round(km, 6) distance_km FROM near WHERE km <= {NEAR_KM}), s AS (SELECT *, round({sql_relation('0.9', f'(CASE WHEN distance_km < 5 THEN 1.0 ELSE 1.0 - 0.5 * (distance_km - 5.0) / ({NEAR_KM} - 5.0) END)', f'(CASE WHEN distance_km < {NEAR_KM} THEN 1 - distance_km / {NEAR_KM} ELSE 0.0 END)')}, 6) confidence FROM r) SELECT *, {SQL_TIER.format('confidence')} tier FROM s",
     "j1_resolved_sites": f"WITH {_J1}",

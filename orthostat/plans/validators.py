@@ -200,7 +200,8 @@ SELECT relation_id, round(CASE WHEN NOT coalesce(s1 <= e2 AND s2 <= e1, false) T
     "t4_contemporary_relations": f"WITH {_T4}",
     "y2_typological_clusters": f"WITH {_Y2}",
     "y3_site_features": f"WITH {ENTITIES}, {_FEATURES} SELECT entity, feature FROM feats",
-    "y7_similar_relations": f"""WITH {ENTITIES}, {sql_relations('similarTo')}, vec AS (SELECT e.id, list_transform(embedding, lambda x: x::double) v FROM entities e JOIN embeddings ON vec_id = CAST(right(e.id, 4) AS bigint) % (SELECT max(vec_id) + 1 FROM embeddings)),
+    "y7_similar_relations": f"""WITH {ENTITIES}, {sql_relations('similarTo')}, ids AS (SELECT id, CAST(right(id, 4) AS bigint) % n vec_id FROM entities, (SELECT max(vec_id) + 1 n FROM embeddings)),
+vec AS (SELECT id, list_transform(embedding, lambda x: x::double) v FROM ids JOIN embeddings USING (vec_id)),
 y7 AS (SELECT r.*, CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN greatest(0.0, least(1.0, list_cosine_similarity(a.v, b.v))) END cosine FROM rel r LEFT JOIN vec a ON a.id = source LEFT JOIN vec b ON b.id = target WHERE stated IS NOT NULL)
 SELECT relation_id, source, target, round(cosine, 6) cosine, round(CASE WHEN cosine IS NOT NULL THEN 0.7 * stated + 0.3 * cosine ELSE 0.0 END, 6) score, cosine IS NOT NULL AND 0.7 * stated + 0.3 * cosine >= 0.5 is_valid FROM y7""",
     "path_validation": f"WITH {_P1} SELECT path_id, path_type, stops, known_stops, round(total_km, 6) total_km, reason IS NULL is_valid, round(score, 6) score, reason FROM p1s",

@@ -52,13 +52,21 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors share one machine's folders."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary folder is made.
+    Where the session names none, a temporary folder is made if all runs on one machine; on a
+    cluster that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("orthostat.shared.dir", None)
     if not named:
+        if not is_local(spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="orthostat-")
         spark.conf.set("orthostat.shared.dir", named)
         atexit.register(shutil.rmtree, named.removeprefix("file://"), True)
