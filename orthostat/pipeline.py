@@ -18,9 +18,10 @@ from .functions.period import normalized_period
 from .functions.text import features_in
 from .graph import mapping, sinks, validate
 from .graph.ontology import Namespaces
-from .operators import fallback, features, novelty, similarity, validation
+from .operators import fallback, features, novelty, similarity, summaries, validation
 from .params import Params
 from .session import cut, shared_dir
+from .sources.records import append_history, read_history
 
 
 class ProposalSource(Protocol):
@@ -83,29 +84,70 @@ def assertion_id(prefix: str, kind, members) -> F.Column:
     return F.concat(F.lit(prefix), F.substring(F.md5(F.concat_ws("|", kind, F.array_join(F.array_sort(members), ","))), 1, 8))
 
 
+CLUSTER_TYPES = ("geographic", "chronological", "typological")
+RELATION_TYPES = ("nearTo", "contemporaryWith", "similarTo")
+_AGENTS = {"geographic": "geo_analyzer", "chronological": "temporal_analyzer"}
+
+
+def _refuse_others(proposals: DataFrame, column: str, types: tuple[str, ...]) -> None:
+    """No proposal is dropped for its type: an unknown or missing one is an error."""
+    odd = proposals.where(~F.coalesce(F.col(column).isin(*types), F.lit(False))).select(column).first()
+    if odd is not None:
+        raise ValueError(f"unknown {column}: {odd[0]}")
+
+
+def _with_facts(rows: DataFrame, kind: str, sites: DataFrame) -> DataFrame:
+    """Cluster assertions with what their known members say: region and centroid, or years."""
+    members = rows.select(F.col("assertion_id").alias("cluster_id"), F.explode("subject_uris").alias("member"))
+    if kind == "geographic":
+        facts = summaries.geographic(members, sites).drop("known")
+    else:
+        dated = sites.withColumn("p", normalized_period(F.col("period_label"))).select("id", "p.start_year", "p.end_year")
+        facts = summaries.chronological(members, dated)
+    return rows.join(facts.withColumnRenamed("cluster_id", "assertion_id"), "assertion_id", "left")
+
+
 def accepted_clusters(sites: DataFrame, proposals: DataFrame, params: Params) -> DataFrame:
     """Assertions of the geographic and chronological cluster proposals that validation accepts."""
+    checks = {
+        "geographic": lambda p: validation.geographic_clusters(p, sites, params.max_radius_km),
+        "chronological": lambda p: validation.chronological_clusters(p, sites),
+    }
     out = None
-    for kind, check in (("geographic", lambda p: validation.geographic_clusters(p, sites, params.max_radius_km)), ("chronological", lambda p: validation.chronological_clusters(p, sites))):
+    for kind, check in checks.items():
         own = proposals.where(F.col("cluster_type") == kind)
         valid = check(own.select("cluster_id", "member")).where("is_valid").select("cluster_id", "score", "proposed")
         lists = own.groupBy("cluster_id", "label", "stated").agg(F.sort_array(F.collect_set("member")).alias("subject_uris"))
         score = F.round(confidence.cluster(F.col("stated"), F.col("score"), F.col("proposed")), 2)
-        rows = lists.join(valid, "cluster_id").select(assertion_id(f"{kind[:3]}_cluster_", F.lit(kind), F.col("subject_uris")).alias("assertion_id"), F.lit(f"{kind}_cluster").alias("assertion_type"), "label", "subject_uris", F.lit("geo_analyzer" if kind == "geographic" else "temporal_analyzer").alias("generated_by"), score.alias("confidence"))
-        out = rows if out is None else out.unionByName(rows)
+        id_ = assertion_id(f"{kind[:3]}_cluster_", F.lit(kind), F.col("subject_uris")).alias("assertion_id")
+        rows = lists.join(valid, "cluster_id").select(id_, F.lit(f"{kind}_cluster").alias("assertion_type"), "label", "subject_uris", F.lit(_AGENTS[kind]).alias("generated_by"), score.alias("confidence"))
+        rows = _with_facts(rows.dropDuplicates(["assertion_id"]), kind, sites)
+        if kind == "chronological":
+            rows = rows.withColumn("period_label", F.col("label"))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out
 
 
 def fallback_clusters(sites: DataFrame, params: Params) -> DataFrame:
-    """Assertions of the fallbacks: greedy spatial clusters and clusters of one period."""
+    """Assertions of the fallbacks: greedy spatial clusters, named by their region, and clusters of one period."""
     located = sites.where("lat is not null and lon is not null")
     spatial = fallback.greedy_clusters(located, params.max_radius_km / 2).groupBy("cluster").agg(F.sort_array(F.collect_set("id")).alias("subject_uris"))
-    spatial = spatial.select(F.lit("geographic").alias("kind"), F.concat(F.lit("Geographic Cluster - "), "cluster").alias("label"), "subject_uris")
     dated = sites.withColumn("p", normalized_period(F.col("period_label"))).where("p is not null")
-    periods = dated.groupBy(F.col("p.period").alias("period")).agg(F.sort_array(F.collect_set("id")).alias("subject_uris")).where(F.size("subject_uris") >= 2)
-    periods = periods.select(F.lit("chronological").alias("kind"), F.concat(F.lit("Chronological Cluster - "), "period").alias("label"), "subject_uris")
-    rows = spatial.unionByName(periods)
-    return rows.select(assertion_id("fallback_", F.col("kind"), F.col("subject_uris")).alias("assertion_id"), F.concat("kind", F.lit("_cluster")).alias("assertion_type"), "label", "subject_uris", F.lit("geo_analyzer").alias("generated_by"), F.lit(0.5).alias("confidence"))
+    periods = dated.groupBy(F.col("p.period").alias("period_label")).agg(F.sort_array(F.collect_set("id")).alias("subject_uris")).where(F.size("subject_uris") >= 2)
+    out = None
+    for kind, found in (("geographic", spatial), ("chronological", periods)):
+        id_ = assertion_id("fallback_", F.lit(kind), F.col("subject_uris")).alias("assertion_id")
+        kept = ["period_label"] if kind == "chronological" else []
+        rows = found.select(id_, F.lit(f"{kind}_cluster").alias("assertion_type"), "subject_uris", F.lit(_AGENTS[kind]).alias("generated_by"), F.lit(0.5).alias("confidence"), *kept)
+        rows = _with_facts(cut(rows, f"{kind}-clusters"), kind, sites)
+        size = F.size("subject_uris").cast("string")
+        if kind == "geographic":
+            rows = rows.withColumns({"label": F.concat(F.lit("Geographic Cluster - "), F.coalesce("region", F.lit("Unknown"))), "description": F.concat(F.lit("Algorithmic cluster of "), size, F.lit(" sites"))})
+        else:
+            rows = rows.withColumns({"label": F.concat(F.lit("Chronological Cluster - "), "period_label"), "description": F.concat(size, F.lit(" sites of one period"))})
+        rows = rows.withColumn("reasoning", F.lit("Algorithmic fallback clustering"))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
 
 
 def accepted_relations(sites: DataFrame, proposals: DataFrame, params: Params) -> DataFrame:
@@ -236,6 +278,8 @@ class Result:
     violations: DataFrame
     warnings: DataFrame
     review: DataFrame
+    #: (generated_by, assertion_type, proposed) before known assertions were dropped
+    proposed: DataFrame | None = None
 
 
 def run(spark: SparkSession, sites: DataFrame, source: ProposalSource | None = None, history: tuple[DataFrame, ...] | None = None, params: Params | None = None, ns: Namespaces = Namespaces(), with_paths: bool = True) -> Result:
@@ -250,14 +294,19 @@ def run(spark: SparkSession, sites: DataFrame, source: ProposalSource | None = N
     extracted = paths = None
     if source is None:
         types, relations = fallback_types(sites)
-        clusters = fallback_clusters(sites, params).unionByName(types)
+        clusters = fallback_clusters(sites, params).unionByName(types, allowMissingColumns=True)
     else:
         proposed, pairs, extracted = source.clusters(sites), source.relations(sites), source.features(sites)
+        _refuse_others(proposed, "cluster_type", CLUSTER_TYPES)
+        _refuse_others(pairs, "relation_type", RELATION_TYPES)
         clusters = accepted_clusters(sites, proposed, params).unionByName(accepted_types(proposed, site_features(sites, extracted), params), allowMissingColumns=True)
         relations = accepted_relations(sites, pairs, params).unionByName(accepted_similar(sites, pairs, source.vectors(sites), params), allowMissingColumns=True)
         if with_paths and (found := source.paths(sites)) is not None:
             paths = accepted_paths(sites, *found, params)
+    counted = []
     if history:
+        clusters, relations = cut(clusters, "clusters"), cut(relations, "relations")
+        counted = [clusters, relations]
         kind = F.regexp_replace("assertion_type", "_cluster$", "")
         items = clusters.select(F.col("assertion_id").alias("item"), kind.alias("kind"), F.col("subject_uris").alias("tokens"))
         fresh = novelty.cluster_novelty(items, history[0], params.cluster_overlap).where("novel").select(F.col("item").alias("assertion_id"))
@@ -268,6 +317,9 @@ def run(spark: SparkSession, sites: DataFrame, source: ProposalSource | None = N
     if source is None and with_paths:
         clusters = cut(clusters, "clusters")
         paths = fallback_paths(clusters, params)
+    if paths is not None and history:
+        paths = cut(paths, "paths")
+        counted.append(paths)
     if paths is not None and history and len(history) > 2:
         items = paths.select(F.col("assertion_id").alias("item"), "theme", F.array_distinct("subject_uris").alias("tokens"))
         fresh = novelty.path_novelty(items, history[2], params.path_overlap).where("novel").select(F.col("item").alias("assertion_id"))
@@ -279,19 +331,63 @@ def run(spark: SparkSession, sites: DataFrame, source: ProposalSource | None = N
         assertions = assertions.unionByName(with_stops(paths, sites, params))
     assertions = cut(assertions.withColumn("created_at", F.coalesce("created_at", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))), "assertions")
     triples = cut(mapping.triples(assertions, ns), "triples")
-    return Result(assertions, triples, validate.shape_violations(triples, ns), validate.vocabulary_warnings(triples, ns), validate.review_rows(triples, ns))
-
-
-def finish(result: Result, directory: str, format_: str = "ntriples", run_id: str | None = None) -> dict:
-    """Write the graph and the review queue; returns and writes the run's metadata."""
+    proposed_rows = None
+    for rows in counted:
+        part = rows.groupBy("generated_by", "assertion_type").agg(F.count("*").alias("proposed"))
+        proposed_rows = part if proposed_rows is None else proposed_rows.unionByName(part)
+    checks = validate.shape_violations(triples, ns), validate.vocabulary_warnings(triples, ns), validate.review_rows(triples, ns)
+    return Result(assertions, triples, *checks, proposed_rows)
+
+
+def known_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored clusters, relations and paths in the form that :func:`run` takes; what is missing is empty."""
+    clusters, relations, paths = read_history(spark, path)
+    return (
+        clusters.select(F.col("cluster_id").alias("item"), F.col("cluster_type").alias("kind"), F.col("member_uris").alias("tokens"), "confidence"),
+        relations.select(F.col("relation_id").alias("item"), F.col("relation_type").alias("kind"), *novelty.pair_key(F.col("source_uri"), F.col("target_uri")), "confidence"),
+        paths.select(F.col("path_id").alias("item"), "theme", F.array_distinct("stop_uris").alias("tokens"), "confidence"),
+    )
+
+
+def remember(result: Result, path: str, run_id: str) -> None:
+    """K7: append the accepted clusters, relations and paths of a run to the history under ``path``."""
+    rows = result.assertions
+    when, run_, none = F.col("created_at"), F.lit(run_id).alias("run_id"), F.lit(None).cast("string").alias("metadata")
+    kind = F.regexp_replace("assertion_type", "_cluster$", "").alias("cluster_type")
+    is_cluster, is_relation = F.col("assertion_type").endswith("_cluster"), F.col("assertion_type").isin(*RELATION_TYPES)
+    parts = {
+        "clusters": rows.where(is_cluster).select(F.col("assertion_id").alias("cluster_id"), kind, "label", F.col("subject_uris").alias("member_uris"), "confidence", run_, when, none),
+        "relations": rows.where(is_relation).select(F.col("assertion_id").alias("relation_id"), F.col("assertion_type").alias("relation_type"), "source_uri", "target_uri", "confidence", run_, when, F.col("relation_value").alias("value"), none),
+        "paths": rows.where("assertion_type = 'thematic_path'").select(F.col("assertion_id").alias("path_id"), "theme", "path_type", F.col("subject_uris").alias("stop_uris"), "confidence", run_, when, none),
+    }
+    for name, part in parts.items():
+        append_history(part, path, name)
+
+
+def novelty_counters(result: Result) -> dict:
+    """A2, M7: proposed, novel and filtered assertions by agent; empty where no history was given."""
+    if result.proposed is None:
+        return {}
+    novel = result.assertions.groupBy("generated_by", "assertion_type").agg(F.count("*").alias("novel"))
+    both = result.proposed.join(novel, ["generated_by", "assertion_type"], "left").groupBy("generated_by").agg(F.sum("proposed").alias("p"), F.sum(F.coalesce("novel", F.lit(0))).alias("n"))
+    return {r["generated_by"]: {"proposed": r["p"], "novel": r["n"], "filtered": r["p"] - r["n"]} for r in both.collect()}  # a row per agent
+
+
+def finish(result: Result, directory: str, format_: str = "ntriples", run_id: str | None = None, validated: bool = True, history: str | None = None) -> dict:
+    """Write the graph and the review queue; returns and writes the run's metadata.
+
+    Without ``validated`` the checks aren't run. Accepted assertions go to the ``history`` last.
+    """
     run_id = run_id or time.strftime("run_%Y%m%d_%H%M%S")
     began = time.time()
     base = f"{directory}/{run_id}"
     sinks.write(result.triples, f"{base}/graph", format_)
     result.review.orderBy("confidence", "assertion").write.mode("overwrite").json(f"{base}/review_queue")
     counts = {r["assertion_type"]: r["count"] for r in result.assertions.groupBy("assertion_type").count().collect()}
-    errors = {r["rule"]: r["count"] for r in result.violations.groupBy("rule").count().collect()}
-    meta = {"run_id": run_id, "assertions_by_type": counts, "assertions_count": sum(counts.values()), "triples_count": result.triples.count(), "violations": errors, "duration_seconds": round(time.time() - began, 2)}
+    errors = {r["rule"]: r["count"] for r in result.violations.groupBy("rule").count().collect()} if validated else {}
+    meta = {"run_id": run_id, "novelty_filtering": novelty_counters(result), "assertions_by_type": counts, "assertions_count": sum(counts.values()), "triples_count": result.triples.count(), "violations": errors, "duration_seconds": round(time.time() - began, 2)}
     spark = result.triples.sparkSession
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/metadata")
+    if history:
+        remember(result, history, run_id)
     return meta

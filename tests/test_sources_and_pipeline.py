@@ -124,6 +124,40 @@ def test_run_with_types_and_paths(spark):
     assert counts_of(pipeline.run(spark, sites, source, history)) == {"extracted_feature": 4}
 
 
+def test_fallbacks_state_agent_region_centroid_and_years(spark):
+    sites = spark.createDataFrame([("s1", 1, 40.0, 10.0, "Neolitico", "Puglia"), ("s2", 2, 40.02, 10.0, "Neolitico", "Puglia"), ("s3", 3, 40.01, 10.0, None, None)], SITES + ", region string")
+    rows = {r["assertion_type"]: r for r in pipeline.fallback_clusters(sites, Params()).collect()}
+    geo, chrono = rows["geographic_cluster"], rows["chronological_cluster"]
+    assert (geo["generated_by"], geo["region"], geo["label"]) == ("geo_analyzer", "Puglia", "Geographic Cluster - Puglia") and abs(geo["centroid_lat"] - 40.01) < 1e-9
+    assert chrono["generated_by"] == "temporal_analyzer" and chrono["start_year"] < chrono["end_year"] and chrono["subject_uris"] == ["s1", "s2"]
+
+
+@pytest.mark.parametrize("what", ["cluster", "relation"])
+def test_unknown_types_are_refused(spark, what):
+    sites = spark.createDataFrame([("s1", 1, 40.0, 10.0, None)], SITES)
+    clusters = spark.createDataFrame([("c", "stylistic" if what == "cluster" else "geographic", "L", "s1", 0.9)], CLUSTERS)
+    relations = spark.createDataFrame([("r", "nearTo" if what == "cluster" else None, "s1", "s1", 0.9)], RELATIONS)
+    with pytest.raises(ValueError, match="unknown"):
+        pipeline.run(spark, sites, pipeline.TableProposals(clusters, relations))
+
+
+def test_a_second_run_over_the_same_data_is_less_novel(spark, tmp_path):
+    sites = spark.createDataFrame([(f"s{k}", k, 40.0 + k / 1000, 10.0, "Neolitico") for k in range(4)], SITES)
+    clusters = spark.createDataFrame([(c, t, "L", m, 0.95) for c, t in (("c1", "geographic"), ("c2", "chronological")) for m in ("s1", "s2", "s3")], CLUSTERS)
+    relations = spark.createDataFrame([("r1", "nearTo", "s1", "s2", 0.95), ("r2", "contemporaryWith", "s1", "s2", 0.95)], RELATIONS)
+    more = spark.createDataFrame([("r3", "nearTo", "s0", "s3", 0.95), ("r1", "nearTo", "s2", "s1", 0.95)], RELATIONS)
+    history, out = str(tmp_path / "history"), str(tmp_path / "out")
+    metas = []
+    for k, pairs in enumerate((relations, relations.unionByName(more))):
+        result = pipeline.run(spark, sites, pipeline.TableProposals(clusters, pairs), pipeline.known_history(spark, history))
+        metas.append(pipeline.finish(result, out, run_id=f"run_{k}", history=history))
+    first, second = (m["novelty_filtering"] for m in metas)
+    assert first["geo_analyzer"] == {"proposed": 2, "novel": 2, "filtered": 0} and first["temporal_analyzer"]["filtered"] == 0
+    assert second["geo_analyzer"]["novel"] == 1 and second["geo_analyzer"]["filtered"] >= 2 and second["temporal_analyzer"]["novel"] == 0
+    assert metas[1]["assertions_by_type"] == {"nearTo": 1}
+    assert {r["run_id"] for r in pipeline.read_history(spark, history)[1].collect()} == {"run_0", "run_1"}
+
+
 def test_similar_feature_labels_are_merged(spark):
     sites = spark.createDataFrame([("s1", 1, None, None, None), ("s2", 2, None, None, None)], SITES)
     extracted = spark.createDataFrame([("s1", "architectural", "slab"), ("s2", "architectural", "slabs")], "entity string, category string, label string")
@@ -146,6 +180,10 @@ def test_command_line(spark, directory, tmp_path):
     run = next((tmp_path / "out").iterdir())
     meta = json.loads(next(p for p in (run / "metadata").iterdir() if p.name.startswith("part")).read_text())
     assert meta["assertions_by_type"] == {"geographic_cluster": 1, "chronological_cluster": 1} and meta["triples_count"] > 10
+    before = sorted((tmp_path / "out").iterdir())
+    assert cli.main([str(directory), str(tmp_path / "g"), str(tmp_path / "out"), "--dry-run", "--quiet"]) == 0 and sorted((tmp_path / "out").iterdir()) == before
+    flags = ["--run-id", "second", "--history", str(tmp_path / "history"), "--skip-validation", "--verbose"]
+    assert cli.main([str(directory), str(tmp_path / "g"), str(tmp_path / "out"), *flags]) == 0 and (tmp_path / "out" / "second").is_dir()
     assert cli.main(["only-one"]) == 2 and cli.main([str(tmp_path / "no"), str(tmp_path / "g"), str(tmp_path / "out")]) == 3
 
 
