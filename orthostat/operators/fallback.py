@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut
-from .spatial import near_points
+from .ordering import with_next
+from .spatial import locations, near_locations
 
 
 def dominant(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -24,9 +25,14 @@ def greedy_clusters(sites: DataFrame, radius_km: float, max_rounds: int = 200) -
     (id, load_order) and (lat, lon); the cluster is named by its first site.
     """
     order = sites.select("id", F.col("load_order").cast("long").alias("o"))
-    pairs = near_points(sites, radius_km, key="id").select("a", "b")
-    ends = pairs.join(order.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(order.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b")
-    edges = cut(ends.select(F.least("oa", "ob").alias("early"), F.greatest("oa", "ob").alias("late")), "edges")
+    places = cut(locations(sites, "id"), "places")
+    at = cut(sites.select(F.col("load_order").cast("long").alias("o"), "lat", "lon").join(places, ["lat", "lon"]).select("rep", "o"), "at")
+    # sites of one place, and of two near places, follow each other in load order: no pair of sites is made
+    pairs = cut(near_locations(places, radius_km), "near").select("rep_a", "rep_b", F.explode(F.array("rep_a", "rep_b")).alias("rep"))
+    of_place = with_next(at, ["rep"], "o", "o").select("o", "next")
+    of_pair = with_next(pairs.join(at, "rep").select("rep_a", "rep_b", "o"), ["rep_a", "rep_b"], "o", "o").select("o", "next")
+    chains = of_place.unionByName(of_pair)
+    edges = cut(chains.where("next is not null").select(F.col("o").alias("early"), F.col("next").alias("late")).distinct(), "edges")
     labels = cut(edges.select(F.explode(F.array("early", "late")).alias("o")).distinct().withColumn("label", F.col("o")), "labels")
     before = None
     for _ in range(max_rounds):
@@ -86,7 +92,7 @@ def simulated_relations(sites: DataFrame) -> DataFrame:
     """Relations between consecutive sites of a region (0.75) and of a period (0.72)."""
     parts = []
     for kind, value, confidence in (("nearTo", "region", 0.75), ("contemporaryWith", "period_label", 0.72)):
-        order = Window.partitionBy(value).orderBy("load_order")
-        rows = sites.where(F.col(value).isNotNull() & (F.col(value) != "")).withColumn("target", F.lead("id").over(order)).where("target is not null")
-        parts.append(rows.select(F.lit(kind).alias("relation_type"), F.col("id").alias("source"), "target", F.lit(confidence).alias("confidence")))
+        rows = sites.where(F.col(value).isNotNull() & (F.col(value) != "")).select(value, "load_order", "id")
+        rows = with_next(rows, [value], "load_order", "id").where("next is not null")
+        parts.append(rows.select(F.lit(kind).alias("relation_type"), F.col("id").alias("source"), F.col("next").alias("target"), F.lit(confidence).alias("confidence")))
     return parts[0].unionByName(parts[1])

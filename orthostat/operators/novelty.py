@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .similarity import prefixes
+
 
 def known(history: DataFrame, least_confidence: float = 0.70) -> DataFrame:
     """M3: the part of the history that counts."""
@@ -30,18 +32,41 @@ def best_overlaps(items: DataFrame, history: DataFrame, kind: str | None) -> Dat
     return shared.select("item", "match", similarity.alias("similarity"))
 
 
+def overlaps_from(items: DataFrame, history: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """(item, match, similarity, and the columns ``h_*`` of the history) of history sets from ``threshold`` on.
+
+    Both have (item, tokens) and the columns ``by``, within which sets compete. Sets meet on their
+    rarest members only, so that a member of very many sets makes few candidates. Equal sets of
+    the history stand for themselves once for each of its other columns.
+    """
+    size = F.size("tokens")
+    others = [c for c in history.columns if c not in ("item", "tokens", "confidence", *by)]
+    sets = history.where(size > 0).groupBy(*by, *others, "tokens").agg(F.min("item").alias("match"))
+    a = prefixes(items.where(size > 0).select("item", *by, "tokens"), "tokens", sets, threshold)
+    b = prefixes(sets, "tokens", sets, threshold).select("key", *by, "match", F.col("tokens").alias("h_tokens"), *(F.col(c).alias(f"h_{c}") for c in others))
+    na, nb = size, F.size("h_tokens")
+    met = a.join(b, ["key", *by]).where((na >= threshold * nb - 1e-9) & (nb >= threshold * na - 1e-9)).drop("key").distinct()
+    n = F.size(F.array_intersect("tokens", "h_tokens"))
+    return met.withColumn("similarity", n / (na + nb - n)).where(F.col("similarity") >= threshold - 1e-9).drop("h_tokens")
+
+
 def _first_best(rows: DataFrame) -> DataFrame:
     """The greatest similarity of each item; ties go to the smallest match."""
     top = rows.groupBy("item").agg(F.max("similarity").alias("similarity"))
     return rows.join(top, ["item", "similarity"]).groupBy("item", "similarity").agg(F.min("match").alias("match"))
 
 
-def cluster_novelty(items: DataFrame, history: DataFrame, threshold: float = 0.8) -> DataFrame:
+def cluster_novelty(items: DataFrame, history: DataFrame, threshold: float = 0.8, report_best: bool = True) -> DataFrame:
     """M4: (item, similarity, match, novel) of clusters (item, kind, tokens).
 
-    A cluster without members is not novel. Without overlap the similarity is 0.
+    A cluster without members is not novel. Without overlap the similarity is 0. Without
+    ``report_best`` similarities below the threshold are not looked for and are 0 as well; ``novel``
+    is the same.
     """
-    best = _first_best(best_overlaps(items, known(history), "kind"))
+    if report_best:
+        best = _first_best(best_overlaps(items, known(history), "kind"))
+    else:
+        best = _first_best(overlaps_from(items, known(history).select("item", "kind", "tokens"), ["kind"], threshold).select("item", "match", "similarity"))
     out = items.select("item", "tokens").join(best, "item", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     return out.select("item", "similarity", "match", ((F.size("tokens") > 0) & (F.col("similarity") < threshold)).alias("novel"))
 
@@ -57,13 +82,21 @@ def relation_novelty(items: DataFrame, history: DataFrame) -> DataFrame:
     return items.join(seen, ["kind", "a", "b"], "left").select("item", F.col("seen").isNull().alias("novel"))
 
 
-def path_novelty(items: DataFrame, history: DataFrame, threshold: float = 0.7, boost: float = 1.2) -> DataFrame:
+def path_novelty(items: DataFrame, history: DataFrame, threshold: float = 0.7, boost: float = 1.2, report_best: bool = True) -> DataFrame:
     """M6: (item, similarity, match, novel) of paths (item, theme, tokens), over all types.
 
-    Equal themes (without case) raise the similarity by ``boost``, to 1 at most.
+    Equal themes (without case) raise the similarity by ``boost``, to 1 at most. ``report_best`` is
+    as in :func:`cluster_novelty`.
     """
     sets = known(history)
     size = F.size("tokens")
+    if not report_best:
+        near = overlaps_from(items, sets.select("item", F.lower("theme").alias("theme"), "tokens"), [], threshold / boost)
+        themed = near.join(items.select("item", F.lower("theme").alias("own")).distinct(), "item")
+        raised = F.when(F.col("own") == F.col("h_theme"), F.least(F.lit(1.0), F.col("similarity") * boost)).otherwise(F.col("similarity"))
+        best = _first_best(themed.select("item", "match", raised.alias("similarity")).where(F.col("similarity") >= threshold))
+        out = items.select("item", "tokens").join(best, "item", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+        return out.select("item", "similarity", "match", ((size > 0) & (F.col("similarity") < threshold)).alias("novel"))
     a = items.where(size > 0).select("item", F.lower("theme").alias("ta"), size.alias("na"), F.explode("tokens").alias("t"))
     b = sets.where(size > 0).select(F.col("item").alias("match"), F.lower("theme").alias("tb"), size.alias("nb"), F.explode("tokens").alias("t"))
     shared = a.join(b, "t").groupBy("item", "match", "na", "nb", "ta", "tb").agg(F.count("*").alias("n"))

@@ -309,7 +309,7 @@ def run(spark: SparkSession, sites: DataFrame, source: ProposalSource | None = N
         counted = [clusters, relations]
         kind = F.regexp_replace("assertion_type", "_cluster$", "")
         items = clusters.select(F.col("assertion_id").alias("item"), kind.alias("kind"), F.col("subject_uris").alias("tokens"))
-        fresh = novelty.cluster_novelty(items, history[0], params.cluster_overlap).where("novel").select(F.col("item").alias("assertion_id"))
+        fresh = novelty.cluster_novelty(items, history[0], params.cluster_overlap, report_best=False).where("novel").select(F.col("item").alias("assertion_id"))
         clusters = clusters.join(fresh, "assertion_id", "left_semi")
         pairs = relations.select(F.col("assertion_id").alias("item"), F.col("assertion_type").alias("kind"), *novelty.pair_key(F.col("source_uri"), F.col("target_uri")))
         fresh = novelty.relation_novelty(pairs, history[1]).where("novel").select(F.col("item").alias("assertion_id"))
@@ -322,7 +322,7 @@ def run(spark: SparkSession, sites: DataFrame, source: ProposalSource | None = N
         counted.append(paths)
     if paths is not None and history and len(history) > 2:
         items = paths.select(F.col("assertion_id").alias("item"), "theme", F.array_distinct("subject_uris").alias("tokens"))
-        fresh = novelty.path_novelty(items, history[2], params.path_overlap).where("novel").select(F.col("item").alias("assertion_id"))
+        fresh = novelty.path_novelty(items, history[2], params.path_overlap, report_best=False).where("novel").select(F.col("item").alias("assertion_id"))
         paths = paths.join(fresh, "assertion_id", "left_semi")
     assertions = mapping.complete(clusters).unionByName(mapping.complete(relations))
     if extracted is not None:

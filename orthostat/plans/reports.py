@@ -78,9 +78,12 @@ def f7_existing_relations(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d, "batch_relations").join(seen, ["kind", "a", "b"], "left_semi").select("item").distinct()
 
 
+def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return _sets(spark, d, "batch_clusters").select("item", "kind", "tokens").distinct(), _sets(spark, d, "history_clusters")
+
+
 def m4_cluster_novelty(spark: SparkSession, d: str) -> DataFrame:
-    items = _sets(spark, d, "batch_clusters").select("item", "kind", "tokens").distinct()
-    return novelty.cluster_novelty(items, _sets(spark, d, "history_clusters")).withColumn("similarity", F.round("similarity", 6))
+    return novelty.cluster_novelty(*_clusters(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
 _M4 = f"""{_sql_sets('h', 'history_clusters')}, {_sql_sets('b0', 'batch_clusters')}, b AS (SELECT DISTINCT item, kind, tokens FROM b0),
@@ -105,6 +108,16 @@ def m6_path_novelty(spark: SparkSession, d: str) -> DataFrame:
     return novelty.path_novelty(*_paths(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
+def m4_novel_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """M4's decision alone, with sets that meet on their rarest members."""
+    return novelty.cluster_novelty(*_clusters(spark, d), report_best=False).select("item", "novel").distinct()
+
+
+def m6_novel_paths(spark: SparkSession, d: str) -> DataFrame:
+    """M6's decision alone, with sets that meet on their rarest members."""
+    return novelty.path_novelty(*_paths(spark, d), report_best=False).select("item", "novel").distinct()
+
+
 _M6 = f"""p AS (SELECT DISTINCT path_id item, theme, {sql_set('stop_uris')} tokens, confidence, coalesce(created_at >= TIMESTAMP '{SPLIT}', false) late FROM history_paths),
 it AS (SELECT DISTINCT item, theme, tokens FROM p WHERE late),
 pr AS (SELECT item, match, na, nb, ta, tb, count(*) n FROM (SELECT item, lower(theme) ta, len(tokens) na, unnest(tokens) t FROM it) x JOIN (SELECT item AS match, lower(theme) tb, len(tokens) nb, unnest(tokens) t FROM p WHERE NOT late AND confidence >= 0.70) y USING (t) GROUP BY 1, 2, 3, 4, 5, 6),
@@ -254,8 +267,8 @@ def l1_waits(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "f2_dated_sites": f2_dated_sites, "f3_described_sites": f3_described_sites, "f4_excluded_sites": f4_excluded_sites, "f5_confident_clusters": f5_confident_clusters,
-    "f6_lookups": f6_lookups, "f7_existing_relations": f7_existing_relations, "m4_cluster_novelty": m4_cluster_novelty, "m5_relation_novelty": m5_relation_novelty,
-    "m6_path_novelty": m6_path_novelty, "m8_novelty_statistics": m8_novelty_statistics, "m9_novelty_counters": m9_novelty_counters, "m10_history_summary": m10_history_summary, "m11_context": m11_context,
+    "f6_lookups": f6_lookups, "f7_existing_relations": f7_existing_relations, "m4_cluster_novelty": m4_cluster_novelty, "m4_novel_clusters": m4_novel_clusters, "m5_relation_novelty": m5_relation_novelty,
+    "m6_path_novelty": m6_path_novelty, "m6_novel_paths": m6_novel_paths, "m8_novelty_statistics": m8_novelty_statistics, "m9_novelty_counters": m9_novelty_counters, "m10_history_summary": m10_history_summary, "m11_context": m11_context,
     "a1_counts": a1_counts, "a3_tiers": a3_tiers, "a4_stability": a4_stability, "a5_saturation": a5_saturation, "a6_confidence_statistics": a6_confidence_statistics,
     "a7_corpora": a7_corpora, "a8_means": a8_means, "a9_histogram": a9_histogram, "a10_summary": a10_summary, "a11_completeness": a11_completeness, "a12_coverage": a12_coverage,
     "a15_calibration": a15_calibration, "c9_report": c9_report, "c10_sorted": c10_sorted, "v10_review_queue": v10_review_queue, "l1_waits": l1_waits,
@@ -269,6 +282,8 @@ SQL = {
     "f6_lookups": f"WITH {_sql_sets('c', 'history_clusters')}, {_sql_pairs('p', 'history_relations')}, hub AS (SELECT {sql_key('source_uri')} site FROM history_relations GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT DISTINCT item FROM (SELECT item, unnest(tokens) site FROM c UNION ALL SELECT item, a FROM p UNION ALL SELECT item, b FROM p) WHERE site IN (SELECT site FROM hub)",
     "f7_existing_relations": f"WITH {_sql_pairs('h', 'history_relations')}, {_sql_pairs('b', 'batch_relations')} SELECT DISTINCT item FROM b AS x WHERE EXISTS (SELECT 1 FROM h WHERE h.kind = x.kind AND h.a = x.a AND h.b = x.b)",
     "m4_cluster_novelty": f"WITH {_M4}",
+    "m4_novel_clusters": f"WITH {_sql_cte(_M4)} SELECT DISTINCT item, novel FROM last",
+    "m6_novel_paths": f"WITH {_sql_cte(_M6)} SELECT DISTINCT item, novel FROM last",
     "m5_relation_novelty": f"WITH {_sql_pairs('h', 'history_relations')}, {_sql_pairs('b0', 'batch_relations')}, x AS (SELECT DISTINCT item, kind, a, b FROM b0) SELECT item, NOT EXISTS (SELECT 1 FROM h WHERE confidence >= 0.70 AND h.kind = x.kind AND h.a = x.a AND h.b = x.b) novel FROM x",
     "m6_path_novelty": f"WITH {_M6}",
     "m8_novelty_statistics": f"WITH {_sql_pairs('p', 'history_relations')} SELECT 'clusters' part, count(DISTINCT cluster_id) n FROM history_clusters WHERE confidence >= 0.70 UNION ALL SELECT 'relations', count(DISTINCT kind || '|' || a || '|' || b) FROM p WHERE confidence >= 0.70 UNION ALL SELECT 'paths', count(DISTINCT path_id) FROM history_paths WHERE confidence >= 0.70",

@@ -1,9 +1,11 @@
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orthostat.operators import enrich, fallback, novelty, reports, similarity, validation
+from orthostat.operators import enrich, fallback, novelty, ordering, reports, similarity, validation
 from orthostat.operators.components import connected_components
 
 SITES = [("s1", 1, 40.0, 10.0, "Neolitico"), ("s2", 2, 40.03, 10.0, "neolitico"), ("s3", 3, 40.06, 10.0, "Early Bronze Age"), ("s4", 4, 0.0, 0.0, None), ("s5", 5, None, None, "Late bronze age"), ("s6", 6, 45.0, 10.0, "")]
@@ -163,3 +165,59 @@ def test_vector_pairs_in_blocks(spark, monkeypatch, block):
     assert len(got) == len(set(got)) and set(got) == want
     empty = spark.createDataFrame([], "category string, label string, vector array<double>")
     assert similarity.vector_pairs(empty, 0.4).count() == 0
+
+
+@pytest.mark.parametrize("span", [1, 3, 1000])
+def test_next_of_a_group_over_its_parts(spark, span):
+    rng = random.Random(span)
+    rows = [(rng.choice("ab") if k % 2 else "hot", k, f"v{k}") for k in range(60) if rng.random() < 0.6] + [(None, 5, "n1"), (None, 40, "n2")]
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: r[1])
+        want |= {(g, a[2]): b[2] if b else None for a, b in zip(own, [*own[1:], None])}
+    got = ordering.with_next(spark.createDataFrame(rows, "g string, o long, v string"), ["g"], "o", "v", span).collect()
+    assert {(r["g"], r["v"]): r["next"] for r in got} == want
+
+
+def test_novelty_without_the_best_decides_the_same_with_a_hub(spark):
+    rng = random.Random(2)
+    draw = lambda p: [[f"{p}{k}", rng.choice("xy"), sorted({"hub", *(f"t{rng.randrange(25)}" for _ in range(rng.randrange(1, 6)))}), rng.choice([0.6, 0.9])] for k in range(120)]
+    old, new = draw("h"), draw("n") + [["n_empty", "x", [], 0.9]]
+    schema = "item string, kind string, tokens array<string>, confidence double"
+    history, items = spark.createDataFrame(old, schema), spark.createDataFrame([r[:3] for r in new], "item string, kind string, tokens array<string>")
+    for t in (0.8, 0.5):
+        plain, quick = ({r["item"]: r["novel"] for r in novelty.cluster_novelty(items, history, t, report_best=best).collect()} for best in (True, False))
+        assert plain == quick and len(set(plain.values())) == 2
+        paths = history.withColumnRenamed("kind", "theme"), items.withColumnRenamed("kind", "theme")
+        plain, quick = ({r["item"]: r["novel"] for r in novelty.path_novelty(paths[1], paths[0], t, report_best=best).collect()} for best in (True, False))
+        assert plain == quick
+
+
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_vector_pairs_over_pivots_equal_brute_force(spark, spread):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((6, 8))
+    rows = [("c" if k % 3 else "d", f"l{k:03}", (centres[k % 6] + spread * rng.standard_normal(8)).tolist()) for k in range(240)] + [("c", "zero", [0.0] * 8), ("c", "none", None), (None, "x", [1.0] * 8)]
+    rows += [("c", f"same{k}", [1.0] * 8) for k in range(40)]  # a crowded pivot
+    got = similarity.vector_pairs(spark.createDataFrame(rows, "category string, label string, vector array<double>"), 0.9, block=10).collect()
+    own = [(c, n, np.array(v) / np.linalg.norm(v)) for c, n, v in rows if c and v and any(v)]
+    want = {(c, min(n, m), max(n, m)) for i, (c, n, x) in enumerate(own) for d, m, y in own[i + 1 :] if c == d and x @ y >= 0.9}
+    assert sorted((r["category"], r["a"], r["b"]) for r in got) == sorted(want)
+
+
+def test_greedy_clusters_with_many_sites_at_places(spark):
+    """The definition, site by site in load order, against chains over places."""
+    rng = random.Random(9)
+    spots = [(40 + rng.randrange(12) / 50, 9 + rng.randrange(12) / 50) for _ in range(25)]
+    sites = [(f"s{k}", k * 7 % 211, *rng.choice(spots)) for k in range(200)]
+    far = lambda a, b: 2 * 6371.0 * math.asin(math.sqrt(math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2))
+    left, want = sorted(sites, key=lambda s: s[1]), set()
+    while left:
+        own, rest = [left[0]], []
+        for s in left[1:]:
+            (own if any(far(s[2:], m[2:]) <= 3.0 for m in own) else rest).append(s)
+        if len(own) > 1:
+            want |= {(own[0][0], s[0]) for s in own}
+        left = rest
+    got = fallback.greedy_clusters(spark.createDataFrame(sites, "id string, load_order long, lat double, lon double"), 3.0)
+    assert {(r["cluster"], r["id"]) for r in got.collect()} == want
