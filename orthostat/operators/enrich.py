@@ -5,6 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+def address_batch(wanted: DataFrame, labels: DataFrame, cities: DataFrame) -> DataFrame:
+    """(address_uri, address_full, municipality) of the wanted addresses that have a label.
+
+    ``labels`` has (uri, label) of addresses and cities, ``cities`` (address_uri, city_uri). The city
+    is looked up in two steps and may be missing, as may its label. The smallest label counts
+    where there are several.
+    """
+    named = labels.where("uri is not null and label is not null").groupBy("uri").agg(F.min("label").alias("label"))
+    city = cities.join(named, F.col("city_uri") == F.col("uri")).groupBy("address_uri").agg(F.min("label").alias("municipality"))
+    found = wanted.select("address_uri").distinct().join(named, F.col("address_uri") == F.col("uri")).select("address_uri", F.col("label").alias("address_full"))
+    return found.join(city, "address_uri", "left")
+
+
 def resolve_entities(entities: DataFrame, geometries: DataFrame, addresses: DataFrame, datings: DataFrame, places: DataFrame) -> DataFrame:
     """Entities with their looked-up point, address and dating, and whether anything was found.
 

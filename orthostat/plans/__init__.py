@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-_NAMES = ["proximity", "scalar", "validators", "joins", "reports", "graph", "features", "assertions"]
+_NAMES = ["proximity", "scalar", "validators", "joins", "reports", "graph", "features", "assertions", "replies"]
 
 
 def modules() -> list[ModuleType]:

@@ -76,7 +76,7 @@ def j3_member_warnings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j5_geometry_batch(spark: SparkSession, d: str) -> DataFrame:
-    """The requested geometries with their point, coordinates before WKT."""
+    """The requested geometries with their point, coordinates before WKT."""
     from ..operators.proximity import site_points
 
     wanted = table(spark, d, "sites").select(uri_key(F.col("geometry_uri")).alias("identifier")).where("identifier is not null").distinct()
