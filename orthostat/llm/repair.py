@@ -87,8 +87,13 @@ def _segments(word: str) -> list[tuple[int, int, str]]:
     return [(i, edges[i], word[edges[i] : edges[i + 1]]) for i in range(k + 1)]
 
 
-def _probes(token: str) -> set[str]:
-    """Keys at which a token meets all vocabulary strings within their allowed edits."""
+@lru_cache(maxsize=50_000)
+def _probes(token: str) -> frozenset[str]:
+    """Keys at which a token meets all vocabulary strings within their allowed edits.
+
+    Of all segments that match, one has at most as many edits before it as segments, and few
+    enough behind it; only the places that this leaves are looked up.
+    """
     keys = set()
     for length in range(max(1, len(token) - 3), len(token) + 4):
         k = allowed_edits(length)
@@ -97,9 +102,11 @@ def _probes(token: str) -> set[str]:
         edges = [length * i // (k + 1) for i in range(k + 2)]
         for i in range(k + 1):
             size = edges[i + 1] - edges[i]
-            for start in range(max(0, edges[i] - k), min(len(token) - size, edges[i] + k) + 1):
+            longer, after = len(token) - length, k - i
+            first, last = edges[i] + max(-i, longer - after), edges[i] + min(i, longer + after)
+            for start in range(max(0, first), min(len(token) - size, last) + 1):
                 keys.add(f"{length}:{i}:{token[start : start + size]}")
-    return keys
+    return frozenset(keys)
 
 
 def _vocabulary(form: str) -> set[str]:

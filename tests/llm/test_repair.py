@@ -27,6 +27,19 @@ def test_edit_distance():
         assert repair.edit_distance(a, b) == brute(a, b)
 
 
+def test_probes_miss_no_string_within_its_edits():
+    rng = random.Random(6)
+    for _ in range(6000):
+        word = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 22)))
+        token = list(word)
+        for _ in range(rng.randrange(repair.allowed_edits(len(word)) + 1)):
+            at = rng.randrange(len(token) + 1)
+            token[at : at + rng.randrange(2)] = rng.choice(["", "a", "b", "x"])
+        token = "".join(token)
+        if token and repair.edit_distance(word, token) <= repair.allowed_edits(len(word)):
+            assert repair._probes(token) & {f"{len(word)}:{i}:{part}" for i, _, part in repair._segments(word)}, (word, token)
+
+
 @pytest.fixture(scope="module")
 def terms(spark):
     return spark.createDataFrame(TERMS, "term_id long, kind string, term string, aliases array<string>")
