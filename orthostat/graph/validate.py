@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .ontology import CLASSES, CONSTRAINTS, EXTERNAL, GEO, PROPERTIES, PROV, RDF, RDFS, WGS84, XSD, Constraint, Namespaces, classes_of, path_iri
 
@@ -39,37 +39,53 @@ def consistency(triples: DataFrame, ns: Namespaces = Namespaces()) -> DataFrame:
     return out
 
 
-def shape_violations(triples: DataFrame, ns: Namespaces = Namespaces(), constraints: list[Constraint] = CONSTRAINTS) -> DataFrame:
+def shape_violations(triples: DataFrame, ns: Namespaces = Namespaces(), constraints: list[Constraint] = CONSTRAINTS, is_set: bool = False) -> DataFrame:
     """V6: (node, target, path, rule) of the nodes that break a constraint.
 
     A node is checked by the shapes of its classes and of their superclasses. Values are
-    counted once each. Rules: minCount, maxCount, datatype, nodeKind, minInclusive, maxInclusive.
+    counted once each; ``is_set`` says that no triple is repeated. Rules: minCount, maxCount,
+    datatype, nodeKind, minInclusive, maxInclusive. Facts of each node and predicate are reduced
+    before they are shuffled, and a node's facts then come together once for all constraints.
     """
     spark = triples.sparkSession
-    up = spark.createDataFrame([(ns.onto + c, t) for c in CLASSES for t in classes_of(c)], "o string, target string")
+    up = F.create_map(*(x for c in CLASSES for x in (F.lit(ns.onto + c), F.array(*map(F.lit, sorted(classes_of(c)))))))
     table = spark.createDataFrame(
         [(c.target, c.path, path_iri(c.path, ns), c.least, c.most, XSD + c.datatype if c.datatype else None, c.kind, *(None if x is None else float(x) for x in (c.low, c.high))) for c in constraints],
         "target string, path string, p string, least int, most int, datatype string, kind string, low double, high double",
     )
-    focus = triples.where(F.col("p") == RDF + "type").select("s", "o").join(F.broadcast(up), "o").select(F.col("s").alias("node"), "target").distinct()
-    asked = focus.join(F.broadcast(table), "target")
     wanted = sorted({path_iri(c.path, ns) for c in constraints})
-    values = triples.where(F.col("p").isin(wanted)).select(F.col("s").alias("node"), "p", "o", "o_kind", F.col("datatype").alias("dt")).distinct()
-    number = F.col("o").try_cast("double")
-    rows = asked.join(values, ["node", "p"], "left")
+    known = F.when((F.col("p") == RDF + "type") & F.col("o").isin([ns.onto + c for c in CLASSES]), F.col("o"))
+    there, number = F.col("o").isNotNull(), F.col("o").try_cast("double")
+    n = F.count("o") if is_set else F.count_distinct(F.when(there, F.struct("o", "o_kind", "datatype")))
+    facts = (
+        triples.where(F.col("p").isin(wanted) | known.isNotNull())
+        .groupBy(F.col("s").alias("node"), "p")
+        .agg(
+            n.alias("n"),
+            F.collect_set(known).alias("types"),
+            F.collect_set(F.when(there, F.coalesce("datatype", F.lit("")))).alias("datatypes"),
+            F.max(there & (F.col("o_kind") != "iri")).alias("other_kind"),
+            F.min(number).alias("least"),
+            F.max(number).alias("most"),
+            F.max(there & number.isNull()).alias("no_number"),
+        )
+    )
+    entry = F.struct("p", F.struct("n", "datatypes", "other_kind", "least", "most", "no_number").alias("f"))
+    nodes = facts.groupBy("node").agg(F.map_from_entries(F.collect_list(entry)).alias("facts"), F.flatten(F.collect_list("types")).alias("types"))
+    targets = F.array_distinct(F.flatten(F.transform("types", lambda t: up[t])))
+    asked = nodes.select("node", "facts", F.explode(targets).alias("target")).join(F.broadcast(table), "target")  # as many rows as constraints
+    rows = asked.withColumn("x", F.col("facts")[F.col("p")])
+    count, many = F.coalesce("x.n", F.lit(0)), F.coalesce("x.n", F.lit(0)) > 0
     bad = {
-        "datatype": F.col("o").isNotNull() & F.col("datatype").isNotNull() & ~(F.col("dt").eqNullSafe(F.col("datatype"))),
-        "nodeKind": (F.col("kind") == "iri") & F.col("o").isNotNull() & (F.col("o_kind") != "iri"),
-        "minInclusive": F.col("low").isNotNull() & F.col("o").isNotNull() & ~F.coalesce(number >= F.col("low"), F.lit(False)),
-        "maxInclusive": F.col("high").isNotNull() & F.col("o").isNotNull() & ~F.coalesce(number <= F.col("high"), F.lit(False)),
-    }
-    counted = rows.groupBy("node", "target", "path", "least", "most").agg(F.count("o").alias("n"), *(F.max(F.coalesce(b, F.lit(False))).alias(r) for r, b in bad.items()))
-
-    def rule(name: str, when: Column) -> Column:
-        return F.when(when, F.lit(name))
-
-    rules = [rule("minCount", F.col("n") < F.col("least")), rule("maxCount", F.col("n") > F.col("most")), *(rule(r, F.col(r)) for r in bad)]
-    return counted.select("node", "target", "path", F.explode(F.array_compact(F.array(*rules))).alias("rule"))
+        "minCount": count < F.col("rows_least"), "maxCount": count > F.col("rows_most"),
+        "datatype": F.col("datatype").isNotNull() & F.exists("x.datatypes", lambda d: d != F.col("datatype")),
+        "nodeKind": (F.col("kind") == "iri") & F.col("x.other_kind"),
+        "minInclusive": F.col("low").isNotNull() & many & (F.col("x.no_number") | (F.col("x.least") < F.col("low"))),
+        "maxInclusive": F.col("high").isNotNull() & many & (F.col("x.no_number") | (F.col("x.most") > F.col("high"))),
+    }
+    rows = rows.withColumnsRenamed({"least": "rows_least", "most": "rows_most"})
+    rules = F.array_compact(F.array(*(F.when(when, F.lit(name)) for name, when in bad.items())))
+    return rows.select("node", "target", "path", F.explode(rules).alias("rule"))
 
 
 def info(triples: DataFrame) -> DataFrame:

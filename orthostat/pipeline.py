@@ -335,7 +335,7 @@ def run(spark: SparkSession, sites: DataFrame, source: ProposalSource | None = N
     for rows in counted:
         part = rows.groupBy("generated_by", "assertion_type").agg(F.count("*").alias("proposed"))
         proposed_rows = part if proposed_rows is None else proposed_rows.unionByName(part)
-    checks = validate.shape_violations(triples, ns), validate.vocabulary_warnings(triples, ns), validate.review_rows(triples, ns)
+    checks = validate.shape_violations(triples, ns, is_set=True), validate.vocabulary_warnings(triples, ns), validate.review_rows(triples, ns)
     return Result(assertions, triples, *checks, proposed_rows)
 
 

@@ -59,7 +59,7 @@ def v3_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v6_shapes(spark: SparkSession, d: str) -> DataFrame:
-    return validate.shape_violations(all_triples(spark, d), NS)
+    return validate.shape_violations(all_triples(spark, d), NS, is_set=True)
 
 
 def v7_info(spark: SparkSession, d: str) -> DataFrame:
