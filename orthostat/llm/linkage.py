@@ -110,16 +110,15 @@ class KnownRecords:
         _write_text(self.spark, f"{self.path}/commits/{self.state['seq']:06}.json", json.dumps(self.state))
 
     def _new(self, name: str) -> str:
-        return f"{self.path}/{name}/{self.state['seq'] + 1:06}"
+        return f"{self.path}/{name}/segment={self.state['seq'] + 1}"
 
     def _table(self, name: str, version: int | None = None) -> DataFrame | None:
         """All segments of a table (of one version); None where there is none."""
         paths = [p for v, p in self.state["segments"].get(name, []) if version is None or v == version]
-        rows = None
-        for path in paths:
-            part = self.spark.read.schema(_SCHEMAS[name]).parquet(path)
-            rows = part if rows is None else rows.unionByName(part)
-        return rows
+        if not paths:
+            return None
+        # one scan, however many segments
+        return self.spark.read.schema(_SCHEMAS[name] + ", segment int").option("basePath", f"{self.path}/{name}").parquet(*paths).drop("segment")
 
     def _keyed(self, classes: DataFrame, version: dict) -> DataFrame:
         """(key, cls, n, bucket) of classes (cls, kind, tokens), in the order of one version."""
@@ -160,11 +159,8 @@ class KnownRecords:
     def _version(self, segments: dict, total: int) -> dict:
         """Frequencies of the values over all members so far."""
         ranks = self._new("ranks")
-        rows = None
-        for _, path in segments["members"]:
-            part = self.spark.read.schema(_SCHEMAS["members"]).parquet(path).select(F.explode("tokens").alias("token"))
-            rows = part if rows is None else rows.unionByName(part)
-        rows.groupBy("token").agg(F.count("*").alias("f")).write.parquet(ranks)
+        rows = self.spark.read.schema(_SCHEMAS["members"]).parquet(*(path for _, path in segments["members"]))
+        rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("f")).write.parquet(ranks)
         keys = self.spark.read.parquet(ranks).agg(F.sum("f")).first()[0] or 0
         return {"ranks": ranks, "classes": total, "buckets": max(1, -(-keys // BUCKET_KEYS))}
 
@@ -310,17 +306,23 @@ def link(known: KnownRecords, batch: DataFrame, least_confidence: float = 0.70,
 
 
 def link_all(known: KnownRecords, batches: DataFrame, least_confidence: float = 0.70, unite: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(cases, links) of batches in the order of ``batch_no``; rows without one are left out. ``cases`` has ``batch_no``."""
+    """(cases, links) of batches in the order of ``batch_no``; rows without one are left out. ``cases`` has ``batch_no``.
+
+    With ``unite`` the stored representatives are brought up to date once, after the last batch.
+    """
     rows = cut(batches.where("batch_no is not null"), "batches")
     cases = links = None
     for batch in sorted(r[0] for r in rows.select("batch_no").distinct().collect()):
-        case, more = link(known, rows.where(F.col("batch_no") == batch).drop("batch_no"), least_confidence, unite)
+        case, more = link(known, rows.where(F.col("batch_no") == batch).drop("batch_no"), least_confidence)
         case = case.select(F.lit(batch).alias("batch_no"), "*")
         cases, links = (case, more) if cases is None else (cases.unionByName(case), links.unionByName(more))
     if cases is None:
         cases = known.spark.createDataFrame([], "batch_no int, item string, matched string, similarity double, score double")
         links = known.spark.createDataFrame([], "item string, k_item string")
-    return cases, links.distinct()
+    links = links.distinct()
+    if unite:
+        known.unite(links)
+    return cases, links
 
 
 def link_batches(history: DataFrame, batches: DataFrame, threshold: float, least_confidence: float = 0.70) -> tuple[DataFrame, DataFrame]:
