@@ -72,7 +72,8 @@ def _linked(spark: SparkSession, d: str, unite: bool = False) -> list[tuple[Data
     """(cases, known records after the last batch) of clusters, by overlap, and of relations, by their two ends.
 
     The history is indexed under a fresh path of this call. The two don't depend on each other;
-    their many small jobs run side by side.
+    their many small jobs run side by side, or one after the other with ``unite``, whose plans
+    are more than the driver should hold twice.
     """
     sites = uri_set(F.col("member_uris"))
     a, b = uri_key(F.col("source_uri")), uri_key(F.col("target_uri"))
@@ -84,7 +85,7 @@ def _linked(spark: SparkSession, d: str, unite: bool = False) -> list[tuple[Data
         known = linkage.KnownRecords.create(spark, table_path(spark, f"known-{name}"), history.where("confidence >= 0.70"), threshold)
         return linkage.link_all(known, batches, unite=unite)[0], known
 
-    with ThreadPoolExecutor(2) as pool:
+    with ThreadPoolExecutor(1 if unite else 2) as pool:
         clusters = pool.submit(run, "clusters", "cluster_id", "cluster_type", sites, "label", None, 0.8)
         relations = pool.submit(run, "relations", "relation_id", "relation_type", ends, None, "value", 1.0)
         return [clusters.result(), relations.result()]
