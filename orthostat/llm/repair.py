@@ -32,7 +32,7 @@ LEAST_SCORE, LEAST_LEAD = 0.74, 0.015
 BROADCAST_KEYS = 200_000
 
 #: What it costs to cut words off at the ends of a value without blanks.
-STRIPPED = 0.1
+STRIPPED = 0.08
 #: A word wraps values of a kind if it stands beside so many of the kind's entries, and this share of them.
 WRAPPING_ENTRIES, WRAPPING_SHARE = 3, 0.15
 # Digits that stand for letters in damaged text.
