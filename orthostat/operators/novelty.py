@@ -8,8 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut
 from .similarity import prefixes
 
+#: Members of more history sets than this are common ones; so many of them, the most frequent, have a bit each.
+COMMON_SETS, COMMON_BITS = 500, 64
+
 
 def known(history: DataFrame, least_confidence: float = 0.70) -> DataFrame:
     """M3: the part of the history that counts."""
@@ -52,8 +56,8 @@ def overlaps_from(items: DataFrame, history: DataFrame, by: list[str], threshold
 
 def _first_best(rows: DataFrame) -> DataFrame:
     """The greatest similarity of each item; ties go to the smallest match."""
-    top = rows.groupBy("item").agg(F.max("similarity").alias("similarity"))
-    return rows.join(top, ["item", "similarity"]).groupBy("item", "similarity").agg(F.min("match").alias("match"))
+    first = rows.groupBy("item").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "match")).alias("m"))
+    return first.select("item", (-F.col("m.s")).alias("similarity"), F.col("m.match").alias("match"))
 
 
 def cluster_novelty(items: DataFrame, history: DataFrame, threshold: float = 0.8, report_best: bool = True) -> DataFrame:
@@ -82,7 +86,54 @@ def relation_novelty(items: DataFrame, history: DataFrame) -> DataFrame:
     return items.join(seen, ["kind", "a", "b"], "left").select("item", F.col("seen").isNull().alias("novel"))
 
 
-def path_novelty(items: DataFrame, history: DataFrame, threshold: float = 0.7, boost: float = 1.2, report_best: bool = True) -> DataFrame:
+def _path_overlaps(items: DataFrame, sets: DataFrame, boost: float, common_sets: int) -> DataFrame:
+    """(item, match, similarity) among which the best match of each path is, of paths (item, theme, tokens).
+
+    Equal sets of one theme are joined once, under their smallest item. Members of more than
+    ``common_sets`` history sets join no pairs: a bit each tells which of them a set has, and of
+    the sets with the same bits and size (and theme) the smallest item stands for all. If it has
+    more in common with the path than those bits, it is a better match than the sets it stands for.
+    """
+    size, theme = F.size("tokens"), F.lower("theme").alias("theme")
+    mine = cut(items.where(size > 0).select("item", theme, "tokens").distinct(), "paths")
+    seen = cut(sets.where(size > 0).groupBy(theme, "tokens").agg(F.min("item").alias("match")), "known")
+    often = seen.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("f")).where(F.col("f") > common_sets)
+    common = F.array(*(F.lit(r["t"]) for r in often.orderBy(F.col("f").desc(), "t").limit(COMMON_BITS).collect())).cast("array<string>")
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), (F.array_position(common, t) - 1).cast("int"))
+    bits = F.aggregate(F.array_intersect("tokens", common), F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(bit(t)))
+
+    def side(df: DataFrame, own: str, s: str) -> DataFrame:
+        return df.select(own, F.col("theme").alias(f"t{s}"), size.alias(f"n{s}"), bits.alias(f"m{s}"), F.array_except("tokens", common).alias(f"rare{s}"), F.xxhash64("theme", "tokens").alias(f"k{s}"))
+
+    a, b = side(mine, "item", "a"), side(seen, "match", "b")
+    both, same = F.bit_count(F.col("ma").bitwiseAND(F.col("mb"))), F.coalesce(F.col("ta") == F.col("tb"), F.lit(False))
+
+    def similarity(n: Column, boosted: Column) -> Column:
+        plain = n / (F.col("na") + F.col("nb") - n)
+        return F.when(boosted, F.least(F.lit(1.0), plain * boost)).otherwise(plain).alias("similarity")
+
+    each = a.withColumn("t", F.explode("rarea")).drop("rarea").join(b.withColumn("t", F.explode("rareb")).drop("rareb"), "t")
+    shared = each.groupBy("item", "ka", "na", "ma", "match", "kb", "nb", "mb", same.alias("same")).agg(F.count("*").alias("n"))
+    rare = shared.select("item", "match", similarity(F.col("n") + both, F.col("same")))
+
+    def by_bits(boosted: bool) -> DataFrame:
+        on = ["theme"] if boosted else []
+        x, y = (df.where(F.col(m) != 0).withColumn("theme", F.col(t)) for df, m, t in ((a, "ma", "ta"), (b, "mb", "tb")))
+        kinds, groups = x.select(*on, "ma", "na").distinct(), y.groupBy(*on, "mb", "nb").agg(F.min("match").alias("match"))
+        met = kinds.withColumn("bit", F.explode(_set_bits("ma"))).join(groups.withColumn("bit", F.explode(_set_bits("mb"))), [*on, "bit"])
+        found = met.select(*on, "ma", "na", "match", similarity(both, F.lit(boosted)))
+        top = _first_best(found.select(F.struct(*on, "ma", "na").alias("item"), "match", "similarity"))
+        return x.select("item", *on, "ma", "na").join(top.select("item.*", "match", "similarity"), [*on, "ma", "na"]).select("item", "match", "similarity")
+
+    return rare.unionByName(by_bits(False)).unionByName(by_bits(True))
+
+
+def _set_bits(column: str) -> Column:
+    """The numbers of the bits of a long that are set."""
+    return F.filter(F.sequence(F.lit(0), F.lit(COMMON_BITS - 1)), lambda k: F.col(column).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0)
+
+
+def path_novelty(items: DataFrame, history: DataFrame, threshold: float = 0.7, boost: float = 1.2, report_best: bool = True, common_sets: int = COMMON_SETS) -> DataFrame:
     """M6: (item, similarity, match, novel) of paths (item, theme, tokens), over all types.
 
     Equal themes (without case) raise the similarity by ``boost``, to 1 at most. ``report_best`` is
@@ -97,11 +148,6 @@ def path_novelty(items: DataFrame, history: DataFrame, threshold: float = 0.7, b
         best = _first_best(themed.select("item", "match", raised.alias("similarity")).where(F.col("similarity") >= threshold))
         out = items.select("item", "tokens").join(best, "item", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
         return out.select("item", "similarity", "match", ((size > 0) & (F.col("similarity") < threshold)).alias("novel"))
-    a = items.where(size > 0).select("item", F.lower("theme").alias("ta"), size.alias("na"), F.explode("tokens").alias("t"))
-    b = sets.where(size > 0).select(F.col("item").alias("match"), F.lower("theme").alias("tb"), size.alias("nb"), F.explode("tokens").alias("t"))
-    shared = a.join(b, "t").groupBy("item", "match", "na", "nb", "ta", "tb").agg(F.count("*").alias("n"))
-    plain = F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))
-    similarity = F.when(F.col("ta") == F.col("tb"), F.least(F.lit(1.0), plain * boost)).otherwise(plain)
-    best = _first_best(shared.select("item", "match", similarity.alias("similarity")))
+    best = _first_best(_path_overlaps(items, sets, boost, common_sets))
     out = items.select("item", "tokens").join(best, "item", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     return out.select("item", "similarity", "match", ((size > 0) & (F.col("similarity") < threshold)).alias("novel"))

@@ -99,9 +99,9 @@ def m5_relation_novelty(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, d, "history_paths").select(F.col("path_id").alias("item"), "theme", uri_set(F.col("stop_uris")).alias("tokens"), "confidence", "created_at").distinct()
-    late = F.coalesce(F.col("created_at") >= F.lit(SPLIT).cast("timestamp_ntz"), F.lit(False))
-    return rows.where(late).select("item", "theme", "tokens").distinct(), rows.where(~late)
+    late = F.coalesce(F.col("created_at") >= F.lit(SPLIT).cast("timestamp_ntz"), F.lit(False)).alias("late")
+    rows = table(spark, d, "history_paths").select(F.col("path_id").alias("item"), "theme", uri_set(F.col("stop_uris")).alias("tokens"), "confidence", late).distinct()
+    return rows.where("late").select("item", "theme", "tokens").distinct(), rows.where("not late").drop("late")
 
 
 def m6_path_novelty(spark: SparkSession, d: str) -> DataFrame:

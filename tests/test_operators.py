@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orthostat.operators import enrich, fallback, novelty, ordering, reports, similarity, validation
 from orthostat.operators.components import connected_components
+from orthostat.plans import reports as plans_reports
 
 SITES = [("s1", 1, 40.0, 10.0, "Neolitico"), ("s2", 2, 40.03, 10.0, "neolitico"), ("s3", 3, 40.06, 10.0, "Early Bronze Age"), ("s4", 4, 0.0, 0.0, None), ("s5", 5, None, None, "Late bronze age"), ("s6", 6, 45.0, 10.0, "")]
 
@@ -221,3 +222,34 @@ def test_greedy_clusters_with_many_sites_at_places(spark):
         left = rest
     got = fallback.greedy_clusters(spark.createDataFrame(sites, "id string, load_order long, lat double, lon double"), 3.0)
     assert {(r["cluster"], r["id"]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("common_sets", [0, 5, 1000])
+def test_best_paths_with_hubs_equal_brute_force(spark, common_sets):
+    rng = random.Random(5)
+
+    def path(i):
+        stops = {f"s{rng.randrange(40)}" for _ in range(rng.choice([0, 1, 2, 3]))} | {h for h in ("hub", "inn") if rng.random() < 0.6}
+        return i, rng.choice([None, "Stones", "stones", "tombs", "wells"]), sorted(stops)
+
+    seen = [path(f"k{rng.randrange(90):02d}") for _ in range(120)]
+    mine = [path(f"p{rng.randrange(50):02d}") for _ in range(60)]
+    best = {}
+    for i, theme, a in mine:
+        found = [(0.0, None)] if i not in best else [best[i]]
+        for k, other, b in seen:
+            if n := len(set(a) & set(b)):
+                s = n / (len(a) + len(b) - n)
+                found.append((min(1.0, s * 1.2) if theme and other and theme.lower() == other.lower() else s, k))
+        best[i] = min(found, key=lambda f: (-f[0], f[1] or "z"))
+    history = spark.createDataFrame([(*r, 0.9) for r in seen], "item string, theme string, tokens array<string>, confidence double")
+    items = spark.createDataFrame(mine, "item string, theme string, tokens array<string>")
+    got = {(r["item"], round(r["similarity"], 9), r["match"]) for r in novelty.path_novelty(items, history, common_sets=common_sets).collect()}
+    assert got == {(i, round(s, 9), k) for i, (s, k) in best.items()}
+
+
+def test_a_path_stored_twice_counts_once(spark, tmp_path):
+    rows = "('old', 'a', array('x/1', 'x/2'), 0.9D, timestamp_ntz'2024-03-01 00:00:00'), ('old', 'a', array('x/2', 'x/1'), 0.9D, timestamp_ntz'2024-04-01 00:00:00'), ('new', 'b', array('x/1', 'x/2'), 0.9D, timestamp_ntz'2024-06-01 00:00:00')"
+    spark.sql(f"select * from values {rows} as t(path_id, theme, stop_uris, confidence, created_at)").write.parquet(str(tmp_path / "history_paths.parquet"))
+    got = plans_reports.m6_path_novelty(spark, str(tmp_path)).collect()
+    assert [(r["item"], r["similarity"], r["match"], r["novel"]) for r in got] == [("new", 1.0, "old", False)]
