@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orthostat.operators import enrich, fallback, novelty, ordering, reports, similarity, validation
+from orthostat.operators import enrich, fallback, novelty, ordering, ratelimit, reports, similarity, validation
 from orthostat.operators.components import connected_components
 from orthostat.plans import reports as plans_reports
 
@@ -253,3 +253,28 @@ def test_a_path_stored_twice_counts_once(spark, tmp_path):
     spark.sql(f"select * from values {rows} as t(path_id, theme, stop_uris, confidence, created_at)").write.parquet(str(tmp_path / "history_paths.parquet"))
     got = plans_reports.m6_path_novelty(spark, str(tmp_path)).collect()
     assert [(r["item"], r["similarity"], r["match"], r["novel"]) for r in got] == [("new", 1.0, "old", False)]
+
+
+def test_waits_equal_brute_force(spark):
+    rng = random.Random(11)
+    minute, hour, day = 60_000_000, 3_600_000_000, 86_400_000_000
+    start = 1_704_067_200_000_000
+    times = [start + rng.randrange(3) * day + rng.randrange(26) * hour + rng.choice([0, hour - minute, rng.randrange(hour)]) for _ in range(80)]
+    # just 60 s and 24 h later, to the microsecond, at the same time, and before 1970
+    times += [t + d for t in rng.sample(times, 60) for d in (0, minute, minute + 1, day, day + 1)] + [-5, -5 - minute, -4 - day]
+    rows = [(f"e{k:03d}", t) for k, t in enumerate(rng.sample(times, len(times)))]
+    requests = spark.createDataFrame([*rows, ("none", None)], "event_id string, u long").selectExpr("event_id", "timestamp_micros(u) ts")
+    got = {r["event_id"]: tuple(r)[1:] for r in ratelimit.waits(requests, per_minute=2, per_day=40).collect()}
+    want, order = {}, sorted((t, i) for i, t in rows)
+    for k, (t, i) in enumerate(order):
+        near, whole = (sum(t - d <= o <= t for o, _ in order) for d in (minute, day))
+        wait = max(0.0, 60 - (t - order[k - 2][0]) / 1e6) if k >= 2 else 0.0
+        want[i] = (near, whole, round(wait, 3), whole > 40)
+    assert got == want
+
+
+def test_waits_have_no_frame_for_each_request(spark):
+    requests = spark.sql("select id event_id, timestamp_seconds(1704067200 + id) ts from range(10)")
+    text = ratelimit.waits(requests, 2, 5)._jdf.queryExecution().analyzed().toString()
+    # a frame that slides over requests is summed anew for each; only hours may have one
+    assert text.count("windowspecdefinition") == 1 and "windowspecdefinition(day" in text and "sum(n" in text
