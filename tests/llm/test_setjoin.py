@@ -74,3 +74,25 @@ def test_least_overlap_is_exact():
 def test_threshold_is_checked(spark):
     with pytest.raises(ValueError):
         run(spark, [("a", ["x"])], 0.0)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.8, 1.0])
+@pytest.mark.parametrize("share", [0, 10**9])
+def test_lists_and_bitmaps_equal_brute_force(spark, monkeypatch, threshold, share):
+    monkeypatch.setattr(setjoin, "SCAN_SHARE", share)
+    monkeypatch.setattr(setjoin, "SCAN_BLOCK", 30)
+    monkeypatch.setattr(setjoin, "_COLUMNS", 16)
+    data = rows(4, [1, 3, 6, 11, 14, 30, 90], 100) + [(f"t{i}", [f"w{k}" for k in range(i, i + 300)]) for i in range(0, 100, 7)]
+    data += [(f"{i}x", s[1:] + ["odd"]) for i, s in rows(4, [1, 3, 6, 11, 14, 30, 90], 100)]
+    assert run(spark, data, threshold) == brute(data, threshold)
+
+
+def test_sets_of_common_values_meet_by_bitmaps(spark, monkeypatch):
+    called = []
+    scanned = setjoin._scanned_pairs
+    monkeypatch.setattr(setjoin, "_scanned_pairs", lambda *a: called.append(1) or scanned(*a))
+    data = rows(2, [20, 22, 25], 40)
+    assert run(spark, data, 0.6) == brute(data, 0.6) and called
+    called.clear()
+    data = [(f"r{i}", [f"v{i // 2}_{k}" for k in range(20)] + [f"own{i}"]) for i in range(1200)]
+    assert run(spark, data, 0.6) == brute(data, 0.6) and not called
